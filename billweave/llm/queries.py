@@ -16,6 +16,70 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), width=4, t=Threshold(85, 100)).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billweave.llm.chat_format import formatted
+
+    return formatted(table(spark, sf_dir, "conversations"))
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billweave.llm.fingerprints import fingerprints_beside_edits
+
+    return fingerprints_beside_edits(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billweave.llm.pii import KINDS, personal_data
+
+    names = F.array(*map(F.lit, KINDS))
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+    def many(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    found = personal_data(table(spark, sf_dir, "documents"))
+    counts = [many(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billweave.llm.toxicity import score_documents, train, trains
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~trains()).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billweave.llm.url_filter import judged, rule
+
+    rules = [rule("allow", "com/"), rule("block", "example.com/en/"), rule("allow", "www.example.com/en/"), rule("block", "net/es/"), rule("block", "net/fr/")]
+    return judged(table(spark, sf_dir, "pages"), rules)
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billweave.llm.suffix_dedup import without_repeats
+
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billweave.llm.decontamination import contamination, is_contaminated
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billweave.llm.license_scan import licences, train
+
+    found = licences(table(spark, sf_dir, "documents"), train(spark))
+    return found.select("doc_id", "n_paragraphs", "n_licence", F.array_join("families", ",").alias("families"), "doubtful")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,7 +90,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    "op10_byte_bpe": op10_byte_bpe,
-}
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_chat_format, op3_document_fingerprints, op4_pii, op5_toxicity, op6_url_filter,
+        op7_suffix_dedup, op8_decontamination, op9_license_scan, op10_byte_bpe,
+    )
+}
 ORACLES: dict[str, str] = {}
