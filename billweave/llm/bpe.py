@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from billweave.llm.common import SLICE_BYTES, byte_values, mix, powers, slices, text_bytes
+from billweave.llm.common import SLICE_BYTES, byte_values, mix, powers, ship, slices, text_bytes
 
 #: Entries of the cache of merged pieces in a worker; it is emptied when full.
 CACHE_PIECES = 400_000
@@ -336,6 +336,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: Sequence[str] = ("d
 
     vocabulary: path of a rank file on the driver; it is sent to the executors once (50,000 entries, about 1 MB).
     """
+    ship(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     kept = [c for c in keep if c != "text"]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids binary", "offsets binary", "decoded binary"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import saved, slices
+from billweave.llm.common import saved, ship, slices
 
 MARK = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.DOTALL)
 #: Types of arguments by the names that schemas use.
@@ -129,6 +129,7 @@ def formatted(conversations: DataFrame, tools: Schemas = TOOLS) -> DataFrame:
 
     linked: a call has a result after it, or a result a call before it.
     """
+    ship(conversations.sparkSession)
     source = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     parts = saved(source.mapInArrow(lambda b: parsed(b, tools), PARTS), "parts")
     at = F.struct("turn", "place")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's sources to the executors, once for each application: their Python need not have it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="billweave-")) / "billweave_sources.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import SLICE_BYTES, byte_values, mix, powers, slices, text_bytes
+from billweave.llm.common import SLICE_BYTES, byte_values, mix, powers, ship, slices, text_bytes
 
 LEAST, TARGET, MOST = 8, 32, 128
 #: Bits that must be zero for a cut before and after the target size.
@@ -122,6 +122,7 @@ def contained(keys: np.ndarray, others: np.ndarray, n: int) -> np.ndarray:
 
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and fingerprint (string) of every row."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -188,6 +189,7 @@ def fingerprints_beside_edits(docs: DataFrame) -> DataFrame:
     Documents are dealt once, by ranges of doc_id; the first of each range goes to the range before as well, so that no
     task needs more than its own rows.
     """
+    ship(docs.sparkSession)
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession

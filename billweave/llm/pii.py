@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import Bits, bits_of, saved, slices, text_bytes
+from billweave.llm.common import Bits, bits_of, saved, ship, slices, text_bytes
 
 KINDS = ["email", "ip", "card", "phone"]
 EMAIL, IP, CARD, PHONE = range(4)
@@ -195,6 +195,7 @@ def known_strings(strings: DataFrame) -> DataFrame:
 
 def found_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of docs with their seeds, and (doc_id, hash, added) of the rows in which strings became known."""
+    ship(docs.sparkSession)
     facts = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(examine, EXAMINED), "examined")
     strings = facts.where("size(graph) > 0").select("doc_id", "hash", F.explode("graph").alias("s")).select("doc_id", "hash", "s.*")
     known = known_strings(strings.select("kind", "kinds", "string", "patterns"))

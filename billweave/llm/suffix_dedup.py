@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import Bits, bits_of, byte_values, mix, powers, saved, slices, text_bytes
+from billweave.llm.common import Bits, bits_of, byte_values, mix, powers, saved, ship, slices, text_bytes
 from billweave.llm.induced_sort import repeated_starts
 
 LENGTH = 400
@@ -175,6 +175,7 @@ def text_bytes_of_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, hash (of the text), from and to: byte ranges to remove. Ranges of a row may overlap."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = saved(source.mapInArrow(lambda b: described(b, length), PIECE), "pieces")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import SLICE_BYTES, byte_values, saved, slices, text_bytes, word_hashes
+from billweave.llm.common import SLICE_BYTES, byte_values, saved, ship, slices, text_bytes, word_hashes
 
 SAMPLE = 10_000
 LANDMARKS = 240
@@ -232,6 +232,7 @@ def trains(doc_id: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic)."""
+    ship(docs.sparkSession)
     order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     chosen = labels.where(trains()).where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(order, "doc_id").limit(sample)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(saved(chosen, "chosen")), "doc_id")  # at most `sample` small rows
@@ -282,6 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1, higher: likelier toxic) of every row."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +296,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all their columns, that score under the threshold."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
