@@ -3,15 +3,16 @@
 The kernel counts common subsequences of three letters and lets each letter that they span weigh less (decay), so an
 insult with gaps or inserted characters stays near the plain one. A text is a bag of words (letters only: other marks
 inside a word are dropped, and letters set apart by spaces are joined); its kernel with a landmark is the greatest of its
-words, normalised and raised to a power. Landmarks are words that the labelled texts tie to toxicity; features are
-mapped through the inverse root of the landmarks' own kernel matrix, a squared-hinge machine is fitted on them and its
-margin is calibrated to a probability.
+words, in units of the landmark's own, at most 1, raised to a power. Landmarks are strings inside the words, their edges
+included, that the labelled texts tie to toxicity, chosen greedily until they cover the toxic texts; features are mapped through the inverse
+root of the landmarks' own kernel matrix, a squared-hinge machine is fitted on them and its margin is calibrated to a
+probability.
 
 The fit uses at most `SAMPLE` labelled rows, those with the smallest crc32 of the id; scoring covers whole texts.
 
 Defined results: null and empty texts get the score of a text without words; rows are scored one by one, so repeated rows
 get equal scores; a row whose label is null, or without a labelled text, trains nothing; if no labelled text is toxic or
-none is clean, or no word is tied to toxicity, every text gets the (smoothed) share of toxic labels; other columns,
+none is clean, or no string is tied to toxicity, every text gets the (smoothed) share of toxic labels; other columns,
 whatever their names, are kept out of the way; an empty table gives an empty result.
 """
 
@@ -28,11 +29,17 @@ from pyspark.sql import functions as F
 from billweave.llm.common import SLICE_BYTES, byte_values, saved, ship, slices, text_bytes, word_hashes
 
 SAMPLE = 10_000
-LANDMARKS = 240
-ORDER, DECAY, POWER = 3, 0.7, 4
-#: A landmark's word must be in so many distinct toxic texts, and in so many times the share of the clean ones.
-LEAST_TEXTS, LEAST_LIFT = 3, 8.0
-LONGEST = 40
+ORDER, DECAY, POWER = 3, 0.4, 2
+#: The byte that stands for a word's edge.
+EDGE = 1
+#: Most landmarks, and how many of them are to cover each toxic text.
+LANDMARKS, COVER = 64, 3
+#: Lengths of landmarks in letters and edges; words and strings that are looked at for them.
+SHORTEST, LONGEST_MARK, WORDS, STRINGS = 4, 12, 3000, 2000
+#: A landmark must stand in so many distinct toxic texts, and in so many times the share of the clean ones.
+LEAST_TEXTS, LEAST_LIFT = 3, 20.0
+#: Bytes of a word that are compared at once; a longer one is compared in windows that overlap.
+LONGEST, OVERLAP = 40, 16
 
 _KEEP = np.zeros(256, bool)
 _KEEP[48:58] = _KEEP[65:91] = _KEEP[97:123] = _KEEP[128:] = True
@@ -91,20 +98,26 @@ def matrix(words: list[bytes] | None = None, data: np.ndarray | None = None, sta
     return out
 
 
-def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The subsequence kernel of each row of s with that of t (byte matrices padded with zeros)."""
-    m = t.shape[1]
-    lag = np.arange(m)
-    carry = np.where(lag[None, :] >= lag[:, None], DECAY ** (lag[None, :] - lag[:, None]).clip(0), 0.0).astype(np.float32)
-    shape = (len(s), m + 1)
-    prior = [np.ones(shape, np.float32)] + [np.zeros(shape, np.float32) for _ in range(ORDER - 1)]  # K' of each length up to this letter of s
+def edged(rows: np.ndarray) -> np.ndarray:
+    """Rows of letters with an edge before and after."""
+    out = np.zeros((len(rows), rows.shape[1] + 2), np.uint8)
+    out[:, 0] = EDGE
+    out[:, 1:-1] = rows
+    out[np.arange(len(rows)), (rows > 0).sum(1) + 1] = EDGE
+    return out
+
+
+def kernel(s: np.ndarray, mark: bytes) -> np.ndarray:
+    """The subsequence kernel of each row of s (bytes padded with zeros) with a landmark."""
+    t = np.frombuffer(mark, np.uint8)
+    m = len(t)
+    lag = np.arange(m)[None, :] - np.arange(m)[:, None]
+    carry = np.where(lag >= 0, DECAY ** lag.clip(0), 0.0).astype(np.float32)
+    prior = [np.ones((len(s), m + 1), np.float32)] + [np.zeros((len(s), m + 1), np.float32) for _ in range(ORDER - 1)]  # K' of each length up to this letter of s
     total = np.zeros(len(s), np.float32)
     square = np.float32(DECAY * DECAY)
     for j in range(s.shape[1]):
-        letter = s[:, j : j + 1]
-        if not letter.any():
-            break
-        same = (t == letter) & (letter > 0)
+        same = s[:, j : j + 1] == t[None, :]
         total += (prior[ORDER - 1][:, :m] * same).sum(1) * square
         fresh = [np.matmul(prior[k][:, :m] * same, carry) * square for k in range(ORDER - 1)]
         for k, x in enumerate(fresh):
@@ -113,10 +126,9 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
-def similarity(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The normalised kernel, raised to the power."""
-    both = kernel(s, s) * kernel(t, t)
-    return np.where(both > 0, kernel(s, t) / np.sqrt(np.maximum(both, 1e-12)), 0.0) ** POWER
+def similarity(s: np.ndarray, mark: bytes) -> np.ndarray:
+    """The kernel in units of the landmark's own, at most 1, raised to the power."""
+    return np.minimum(kernel(s, mark) / kernel(np.frombuffer(mark, np.uint8)[None, :], mark)[0], 1.0) ** POWER
 
 
 def gate(words: np.ndarray, reach: int) -> np.ndarray:
@@ -140,48 +152,38 @@ class Model:
     def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The greatest kernel value of each text's words with each landmark.
 
-        A word that shares under three fifths of a landmark's letter pairs counts as unlike it, and so does one whose
-        length is under half or over three times the landmark's.
+        A word that shares under three fifths of a landmark's letter pairs counts as unlike it.
         """
         out = np.zeros((len(off) - 1, len(self.landmarks)), np.float32)
         data, off = squeezed(data, off)
         starts, ends, doc, word = distinct_words(data, off)
-        size = ends - starts
-        short = (size >= ORDER) & (size <= LONGEST)
-        marks = matrix(self.landmarks)
-        mark_bits, mark_size = gate(marks, 1), np.array([len(x) for x in self.landmarks])
+        mark_bits = gate(matrix(self.landmarks), 1)
         need = np.ceil(0.6 * np.bitwise_count(mark_bits)).astype(np.int64)
-        values: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for low, high in ((ORDER, 8), (9, 16), (17, LONGEST)):
-            of = np.flatnonzero(short & (size >= low) & (size <= high))
+        value = np.zeros((len(starts), len(self.landmarks)), np.float32)
+        size = ends - starts
+        for low, high in ((ORDER, 8), (9, 16), (17, LONGEST), (LONGEST + 1, len(data))):
+            of = np.flatnonzero((size >= low) & (size <= high))
+            begin, stop = starts[of], ends[of]
+            if low > LONGEST:  # windows of the few very long words
+                many = -(-(size[of] - OVERLAP) // (LONGEST - OVERLAP))
+                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                begin = np.repeat(begin, many) + within * (LONGEST - OVERLAP)
+                stop = np.minimum(begin + LONGEST, np.repeat(stop, many))
+                of = np.repeat(of, many)
             if not len(of):
                 continue
-            rows = matrix(data=data, starts=starts[of], ends=ends[of])
+            rows = edged(matrix(data=data, starts=begin, ends=stop))
             bits = gate(rows, 3)
-            found_w, found_l = [], []
-            for k in range(len(self.landmarks)):
-                if not (low <= 3 * mark_size[k] and 2 * high >= mark_size[k]):
-                    continue
-                hit = np.flatnonzero((np.bitwise_count(bits & mark_bits[k]) >= need[k]) & (size[of] <= 3 * mark_size[k]) & (2 * size[of] >= mark_size[k]))
-                found_w.append(hit)
-                found_l.append(np.full(len(hit), k))
-            w = np.concatenate(found_w) if found_w else np.zeros(0, np.int64)
-            if not len(w):
-                continue
-            mark = np.concatenate(found_l)
-            for k in range(0, len(w), 1 << 14):
-                a, b = w[k : k + (1 << 14)], mark[k : k + (1 << 14)]
-                values.append((of[a], b, similarity(rows[a], marks[b])))
-        if values:
-            word_at, mark_at, value = (np.concatenate(x) for x in zip(*values))
-            strong = value > 1e-4
-            word_at, mark_at, value = word_at[strong], mark_at[strong], value[strong]
-            order = np.argsort(word_at, kind="stable")
-            word_at, mark_at, value = word_at[order], mark_at[order], value[order]
-            lo, hi = np.searchsorted(word_at, word, "left"), np.searchsorted(word_at, word, "right")
-            many = hi - lo
-            at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            np.maximum.at(out, (np.repeat(doc, many), mark_at[at]), value[at])
+            for k, mark in enumerate(self.landmarks):
+                hit = np.flatnonzero(np.bitwise_count(bits & mark_bits[k]) >= need[k])
+                for j in range(0, len(hit), 1 << 14):
+                    at = hit[j : j + (1 << 14)]
+                    np.maximum.at(value[:, k], of[at], similarity(rows[at], mark))
+        strong = np.flatnonzero(value.max(1, initial=0) > 1e-3)
+        place = np.full(len(starts), -1)
+        place[strong] = strong
+        kept = place[word] >= 0
+        np.maximum.at(out, doc[kept], value[word[kept]])
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -225,6 +227,45 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+def chosen_marks(picked: DataFrame, strings: list[str], bad: int, good: int) -> list[bytes]:
+    """The strings that, added one by one, cover the most toxic texts not yet covered enough; the longest on a tie."""
+    sought = [x.encode() for x in strings]
+
+    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data, off = squeezed(*text_bytes(batch.column("text")))
+            raw = np.where(_WHITE[data], np.uint8(EDGE), data).tobytes()
+            edge = bytes([EDGE])
+            texts = (edge + raw[a:b] + edge for a, b in zip(off.tolist(), off[1:].tolist()))
+            found = [[k for k, x in enumerate(sought) if x in text] for text in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
+
+    rows = picked.mapInArrow(holds, "toxic int, found array<int>").collect()  # at most the sample
+    toxic = [set(r.found) for r in rows if r.toxic]
+    clean = np.zeros(len(strings), np.int64)
+    for r in rows:
+        if not r.toxic:
+            clean[r.found] += 1
+    where: dict[int, set[int]] = {}
+    for k, found in enumerate(toxic):
+        for x in found:
+            where.setdefault(x, set()).add(k)
+    usable = {x: docs for x, docs in where.items() if len(docs) >= LEAST_TEXTS and len(docs) / bad >= LEAST_LIFT * clean[x] / good}
+    covered = np.zeros(len(toxic), np.int64)
+    out: list[bytes] = []
+    while usable and len(out) < LANDMARKS:
+        gain = {x: sum(covered[k] < COVER for k in docs) for x, docs in usable.items()}
+        best = max(usable, key=lambda x: (gain[x], len(strings[x]), strings[x]))
+        if gain[best] < LEAST_TEXTS:
+            break
+        out.append(sought[best])
+        for k in usable.pop(best):
+            covered[k] += 1
+        # strings inside one another tell the same
+        usable = {x: docs for x, docs in usable.items() if strings[x] not in strings[best] and strings[best] not in strings[x]}
+    return out
+
+
 def trains(doc_id: str = "doc_id") -> Column:
     """Whether a row's label may be learned: crc32 of the id as text modulo 5 is not 0."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0
@@ -256,8 +297,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return plain
     tied = picked.mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
     lift = (F.col("bad") + 0.0) / bad / ((F.col("all") - F.col("bad") + 0.5) / good)
-    tied = tied.where((F.col("bad") >= LEAST_TEXTS) & (lift >= LEAST_LIFT)).orderBy(F.desc(F.col("bad") * F.log(lift)), "word").limit(LANDMARKS)
-    landmarks = [r.word.encode() for r in tied.collect()]
+    tied = tied.where((F.col("bad") >= 2) & (lift >= LEAST_LIFT / 4)).orderBy(F.desc("bad"), "word").limit(WORDS)
+    weight: dict[str, int] = {}
+    for r in tied.collect():
+        for size in range(SHORTEST, LONGEST_MARK + 1):
+            word = f"{chr(EDGE)}{r.word}{chr(EDGE)}"
+            for k in range(len(word) - size + 1):
+                weight[word[k : k + size]] = weight.get(word[k : k + size], 0) + r.bad
+    strings = sorted((x for x, w in weight.items() if w >= LEAST_TEXTS), key=lambda x: (-weight[x], -len(x), x))[:STRINGS]
+    landmarks = chosen_marks(picked, strings, bad, good)
     if not landmarks:
         return plain
     model = Model(landmarks, np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
@@ -271,8 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, len(landmarks)).astype(np.float64)
     y = got.column("toxic").to_numpy().astype(bool)
     marks = matrix(landmarks)
-    n = len(landmarks)
-    own = np.stack([similarity(np.repeat(marks[k : k + 1], n, 0), marks) for k in range(n)]).astype(np.float64)
+    own = np.stack([similarity(marks, mark) for mark in landmarks]).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
     w = fit_machine(x @ root, y)
