@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import bits_of, byte_values, saved, shingle_hashes, slices, text_bytes, word_hashes
+from billweave.llm.common import bits_of, byte_values, saved, shingle_hashes, ship, slices, text_bytes, word_hashes
 from billweave.llm.components import components
 
 #: Bytes between words: space and \t to \r.
@@ -38,6 +38,10 @@ BETWEEN = [0x20, *range(9, 14)]
 SKETCH_LOG2 = 20
 #: Sets of at most so many shingles may become light.
 MOST_LIGHT = 24
+#: Lists of at least so many sets are joined by nearest pairs before all their remaining pairs are looked at; of a list
+#: so many sets at once are compared for that.
+LONG_LIST, TOGETHER = 16, 2048
+NEAREST_ROUNDS = 4
 #: Cost of verifying a candidate pair, in postings.
 VERIFY_COST = 8.0
 
@@ -91,22 +95,60 @@ def bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)
 
 
+#: Columns of a set's parity bits: 64 each.
+PARITY = [f"odd{k}" for k in range(16)]
+
+
+def parities(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each set 1024 bits: whether an odd number of its shingles falls into a slot, as rows of longs.
+
+    Where two sets' bits differ, the sets differ by a shingle at least: the count is never above the true difference.
+    """
+    slots = 64 * len(PARITY)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    at = doc * slots + ((flat >> np.uint64(20)) % np.uint64(slots)).astype(np.int64)
+    odd = (np.bincount(at, minlength=(len(off) - 1) * slots) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, slots), axis=1, bitorder="little").view(np.int64)
+
+
+def may_be_alike(t: Threshold, a: str, n: str, b: str, m: str) -> str:
+    """Whether the parities of two sets (columns a.odd*, b.odd*) allow a link: a test that drops no linked pair."""
+    differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in PARITY)
+    return f"({differ} <= {n} + {m} - 2 * (({t.num} * ({n} + {m}) + {t.num + t.den - 1}) div {t.num + t.den}))"
+
+
+#: Counters of the sketch that travel together.
+PART = 1 << 12
+
+
 def described(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of each row its id, set size and node; at the end of a task the sketch of its shingles, as rows without node."""
-    count = np.zeros(1 << SKETCH_LOG2, np.int64)
-    names = ["doc_id", "n", "node", "bucket", "times"]
+    """Of each row its id, set size and node; at the end of a task the sketch of its shingles, as rows with a part."""
+    count = np.zeros(1 << SKETCH_LOG2, np.uint32)
+    names = ["doc_id", "n", "node", *PARITY, "part", "counts"]
     for batch in slices(batches):
         flat, off = doc_sets(batch, width)
         np.add.at(count, bucket(flat), 1)
         n = np.diff(off)
         nodes = [node_of(flat[a:b]) if b > a else None for a, b in zip(off, off[1:])]
-        none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(nodes, pa.int64()), none, none], names)
-    full = np.flatnonzero(count)
-    for k in range(0, len(full), 1 << 16):
-        at = full[k : k + (1 << 16)]
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(np.full(len(at), -1)), none, pa.array(at), pa.array(count[at])], names)
+        odd = [pa.array(x) for x in parities(flat, off).T]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(nodes, pa.int64()), *odd, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+    parts = count.reshape(-1, PART)
+    full = np.flatnonzero(parts.any(1))
+    if len(full):
+        none = pa.nulls(len(full), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, *[none] * len(PARITY), pa.array(full.astype(np.int32)), pa.array([parts[k].tobytes() for k in full], pa.binary())], names)
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tasks' parts of the sketch, added up and put on a logarithmic scale of one byte."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.uint64)
+            held[part] = held[part] + x if part in held else x
+    if held:
+        levels = [np.minimum(255, np.log2(x + 1.0) * 8).astype(np.uint8).tobytes() for x in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
 
 
 def light_subsets(shingles: np.ndarray, size: int) -> np.ndarray:
@@ -200,6 +242,50 @@ def shared_lists(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip((*map(int, k), *lead), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names)
 
 
+def nearest_pairs(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[pa.RecordBatch]:
+    """For each set of a list the one of another group whose parities differ least, if they allow a link.
+
+    The input (token, node, n, comp, odd*) comes sorted by token; `TOGETHER` sets are compared at a time, so a list of
+    any length takes bounded memory. What this leaves out is looked at later.
+    """
+    held: list[np.ndarray] | None = None
+
+    def compared(token, node, n, comp, *odd) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            for lo in range(a, b, TOGETHER):
+                hi = min(b, lo + TOGETHER)
+                if hi - lo < 2:
+                    continue
+                size = n[lo:hi].astype(np.int64)
+                both = size[:, None] + size[None, :]
+                room = both - 2 * -(-(t.num * both) // (t.num + t.den))
+                room -= sum(np.bitwise_count(x[lo:hi, None] ^ x[None, lo:hi]).astype(np.int64) for x in odd)
+                ok = (room >= 0) & (comp[lo:hi, None] != comp[None, lo:hi]) & (t.den * np.minimum(size[:, None], size[None, :]) >= t.num * np.maximum(size[:, None], size[None, :]))
+                room[~ok] = -1
+                best = room.argmax(1)
+                at = np.flatnonzero(room[np.arange(hi - lo), best] >= 0)
+                yield node[lo:hi][at], node[lo:hi][best[at]]
+
+    def rows(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for a, b in found:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on
+        last += (len(cols[0]) - last) // TOGETHER * TOGETHER
+        yield from rows(compared(*(c[:last] for c in cols)))
+        held = [c[last:] for c in cols]
+    if held is not None:
+        yield from rows(compared(*held))
+
+
 def whole_sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
     """node and shingles (packed 64-bit hashes) of the rows whose doc_id may be wanted."""
     import pyarrow.compute as pc
@@ -243,79 +329,100 @@ def light_boundary(sizes: dict[int, int], t: Threshold) -> int:
     return min(range(MOST_LIGHT + 1), key=cost)
 
 
-def overlap_sql(t: Threshold, n: str, m: str) -> str:
-    return f"(({t.num} * ({n} + {m}) + {t.num + t.den - 1}) div {t.num + t.den})"
+def near_in_size(t: Threshold, n: str, m: str) -> str:
+    return f"{t.den} * least({n}, {m}) >= {t.num} * greatest({n}, {m})"
 
 
 def may_link(t: Threshold, n: str, pos: str, m: str, qos: str) -> str:
-    """Whether sets of n and m shingles that share the one at these places can link; light subsets always do."""
-    o = overlap_sql(t, n, m)
-    return f"({pos} < 0 or ({t.den} * least({n}, {m}) >= {t.num} * greatest({n}, {m}) and {pos} <= {n} - {o} and {qos} <= {m} - {o}))"
+    """Whether sets of n and m shingles, n <= m, that share the one at these places of their orders can link by it.
+
+    The first shingle that linked sets share has so few before it in either that the rest can make up the overlap.
+    """
+    overlap = f"(({t.num} * ({n} + {m}) + {t.num + t.den - 1}) div {t.num + t.den})"
+    return f"({t.den} * {n} >= {t.num} * {m} and {pos} <= {n} - {overlap} and {qos} <= {m} - {overlap})"
+
+
+def least_met(t: Threshold, n: str, m: str) -> str:
+    """So many posted shingles linked sets of n and m shingles share at least.
+
+    If the posted shingles of the one end before the other's in the order, all that they share up to there are posted in
+    both, and beyond there the first has only its remaining ones to share.
+    """
+    overlap = f"(({t.num} * ({n} + {m}) + {t.num + t.den - 1}) div {t.num + t.den})"
+    remaining = f"(({t.num} * greatest({n}, {m}) + {t.den - 1}) div {t.den} - 1)"
+    return f"({overlap} - {remaining})"
 
 
-def jaccard_groups(docs: DataFrame, width: int = 5, t: Threshold = Threshold(80, 100), rounds: int = 2) -> DataFrame:
+def jaccard_groups(docs: DataFrame, width: int = 5, t: Threshold = Threshold(80, 100)) -> DataFrame:
     """doc_id, n_shingles, node (name of the set, null if empty) and component_id of every row of docs(doc_id, text).
 
     component_id is the smallest doc_id that links reach, the row's own included.
     """
+    ship(docs.sparkSession)
+    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = saved(source.mapInArrow(lambda b: described(b, width), "doc_id long, n long, node long, bucket long, times long"), "sets")
-    rows = facts.where("n >= 0").select("doc_id", "n", "node")
+    facts = saved(source.mapInArrow(lambda b: described(b, width), ", ".join(["doc_id long, n long, node long", *(f"{c} long" for c in PARITY), "part int, counts binary"])), "sets")
+    rows = facts.where("part is null").select("doc_id", "n", "node")
     # the sketch and the histogram have fixed sizes
     rank = np.zeros(1 << SKETCH_LOG2, np.uint8)
-    sketch = facts.where("n < 0").groupBy("bucket").agg(F.sum("times").alias("times")).select(F.col("bucket").cast("int").alias("bucket"), F.least(F.lit(255), F.floor(F.log2(F.col("times") + 1) * 8)).cast("int").alias("level"))
-    got = sketch.toArrow()
-    rank[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    for r in facts.where("part is not null").select("part", "counts").repartition("part").mapInArrow(summed, "part int, levels binary").collect():
+        rank[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.levels, np.uint8)
     sizes = {r.n: r.many for r in rows.where(f"n between 1 and {2 * MOST_LIGHT}").groupBy("n").agg(F.countDistinct("node").alias("many")).collect()}
     boundary = light_boundary(sizes, t)
-    ranks = docs.sparkSession.sparkContext.broadcast(rank)
+    ranks = spark.sparkContext.broadcast(rank)
     posted = source.mapInArrow(lambda b: postings(b, width, ranks.value, boundary, t), "token long, node long, n int, pos int")
     light = F.col("pos") < 0
     lists = posted.repartition("token").sortWithinPartitions("token", light, "n", "node", "pos").mapInArrow(lambda b: shared_lists(b, t), "token long, node long, n int, pos int, leader long, leader_n int, leader_pos int")
     lists = saved(lists, "lists")
-
-    # sets of all documents in a list that more than one set shares
-    first = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    in_list = lists.where("pos >= 0").select("node").distinct()
-    wanted = bits_of(first.join(in_list, "node", "left_semi").select("first"), "first", 24)
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
-    sets = saved(source.mapInArrow(lambda b: whole_sets(b, width, held.value), "node long, shingles binary").join(in_list, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    first = saved(facts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in PARITY)), "first")
+    parity = first.drop("first")
 
     def decided(pairs: DataFrame) -> DataFrame:
-        got = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        return got.select("a", "b", "sa", "sb").mapInArrow(lambda b: linked(b, t), "a long, b long, ok boolean")
-
-    def pair(a: str, b: str) -> list:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-    ok = may_link(t, "n", "pos", "leader_n", "leader_pos")
-    links = lists.where("pos < 0 and node != leader").select(*pair("node", "leader")).distinct()
-    tried = saved(decided(lists.where(f"pos >= 0 and node != leader and {ok}").select(*pair("node", "leader")).distinct()), "tried")
-    links = saved(links.union(tried.where("ok").select("a", "b")), "links")
+        """Pairs (a, b) with ok: whether their whole sets link. Few pairs get here that do not."""
+        pairs = saved(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        held = spark.sparkContext.broadcast(bits_of(first.join(wanted, "node", "left_semi").select("first"), "first", 24))
+        sets = source.mapInArrow(lambda b: whole_sets(b, width, held.value), "node long, shingles binary").dropDuplicates(["node"])
+        got = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+        return saved(got.select("a", "b", "sa", "sb").mapInArrow(lambda b: linked(b, t), "a long, b long, ok boolean"), "decided")
+
+    heavy = lists.where("pos >= 0")
+    led = heavy.where(f"node != leader and {near_in_size(t, 'n', 'leader_n')}").groupBy(F.col("leader").alias("a"), F.col("node").alias("b"), "leader_n", "n").agg(F.count("*").alias("met"))
+    # a pair may meet in lists that others lead: half of what is needed will do, and the last round misses nothing
+    led = led.where(f"2 * met >= {least_met(t, 'n', 'leader_n')}")
+    both = led.join(parity.alias("x"), F.expr("a = x.node")).join(parity.alias("y"), F.expr("b = y.node"))
+    tried = decided(both.where(may_be_alike(t, "x", "leader_n", "y", "n")).select("a", "b"))
+    links = saved(lists.where("pos < 0 and node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().union(tried.where("ok").select("a", "b")), "links")
     comp = components(links)
-    heavy = lists.where("pos >= 0").select("token", "node", "n", "pos")
-    for k in range(rounds):
-        final = k == rounds - 1
+    heavy = heavy.select("token", "node", "n", "pos")
+    overlap = f"(({2 * t.num} * n + {t.num + t.den - 1}) div {t.num + t.den})"
+    k = 0
+    while k <= NEAREST_ROUNDS:
         # lists whose sets are in more than one group
         grouped = heavy.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = grouped.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token", "lo")
-        grouped = saved(grouped.join(mixed, "token"), "grouped")
-        if grouped.isEmpty():
-            break
-        if final:
-            x, y = grouped.drop("lo").alias("x"), grouped.drop("lo").alias("y")
-            pairs = x.join(y, F.expr(f"x.token = y.token and x.comp < y.comp and {may_link(t, 'x.n', 'x.pos', 'y.n', 'y.pos')}")).select(*pair("x.node", "y.node"))
+        last = k == NEAREST_ROUNDS
+        mixed = grouped.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo != hi" if last else f"lo != hi and many >= {LONG_LIST}").select("token")
+        grouped = grouped.join(mixed, "token").join(parity, "node")
+        if last:
+            # the smaller set of a linked pair has a shared shingle early; most lists of frequent shingles have no such set
+            grouped = saved(grouped, "grouped")
+            x, y = grouped.where(f"pos <= n - {overlap}").alias("x"), grouped.alias("y")
+            smaller = "(x.n < y.n or x.n = y.n and x.node < y.node)"
+            met = x.join(y, F.expr(f"x.token = y.token and x.comp != y.comp and {smaller} and {may_link(t, 'x.n', 'x.pos', 'y.n', 'y.pos')} and {may_be_alike(t, 'x', 'x.n', 'y', 'y.n')}"))
+            pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         else:
-            # each set outside the group with the smallest name meets one set of it in the list, near in size
-            lead = grouped.where("comp = lo").groupBy("token", F.expr("cast(ln(n) / ln(1.06) as int)").alias("band")).agg(F.min(F.struct("node", "n", "pos")).alias("lead"))
-            pairs = grouped.where("comp != lo").withColumn("band", F.explode(F.expr("sequence(cast(ln(n) / ln(1.06) as int) - 1, cast(ln(n) / ln(1.06) as int) + 1)"))).join(lead, ["token", "band"]).where(may_link(t, "n", "pos", "lead.n", "lead.pos")).select(*pair("node", "lead.node"))
-        fresh = pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        found = saved(decided(fresh), "tried")
+            in_order = grouped.select("token", "node", "n", "comp", *PARITY, "pos").repartition("token").sortWithinPartitions("token", "pos", "node").drop("pos")
+            pairs = in_order.mapInArrow(lambda b: nearest_pairs(b, t), "a long, b long").distinct()
+        known = tried.select("a", "b").union(tried.select("b", "a"))
+        found = decided(pairs.join(known, ["a", "b"], "left_anti"))
         new = found.where("ok").select("a", "b")
+        tried = tried.union(found)
         if not new.isEmpty():
             links = links.union(new)
             comp = components(links)
-        tried = tried.union(found)
+            k += 1
+        else:
+            k = NEAREST_ROUNDS if k < NEAREST_ROUNDS else k + 1  # nothing new: on to the last round, or done
     named = rows.join(comp, "node", "left").withColumn("group", F.coalesce("comp", "node"))
     smallest = named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("smallest"))
     return named.join(smallest, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("smallest", "doc_id").alias("component_id"))
