@@ -56,7 +56,7 @@ def address(value: Column) -> Column:
 
 def is_npi(value: Column) -> Column:
     """Ten digits whose Luhn sum, behind the issuer's prefix, is right."""
-    return value.rlike(r"^\d{10}$") & F.luhn_check(F.concat(F.lit("80840"), value))
+    return value.rlike(r"^\d{10}$") & F.call_function("luhn_check", F.concat(F.lit("80840"), value))
 
 
 def ocr_indicators(text: Column) -> Column:

@@ -55,7 +55,7 @@ def bonus(condition: Column, amount: float) -> Column:
 
 def trimmed_lines(text: Column) -> Column:
     """Lines without outer white space, blank ones dropped."""
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def redact(text: Column, patterns: Sequence[str], mark: str = "[REDACTED]") -> Column:

@@ -107,15 +107,20 @@ def pair_union(first: DataFrame, second: DataFrame) -> DataFrame:
 def groups(pairs: DataFrame) -> DataFrame:
     """doc_id, node and group (its smallest node) of pairs(doc_id, a, b): full closure within a document.
 
-    A recursive query spreads each node along the links; documents are small and independent.
+    A fold over a document's pairs, which are few: each pair unites the groups that hold one of its two.
     """
-    spark = pairs.sparkSession
-    pairs.select("doc_id", "a", "b").createOrReplaceTempView("__pairs")
-    return spark.sql(
-        """with recursive link as (select doc_id, a, b from __pairs union select doc_id, b, a from __pairs),
-        reach(doc_id, node, seen) as (select distinct doc_id, a, a from link union select r.doc_id, l.b, r.seen from reach r join link l on l.doc_id = r.doc_id and l.a = r.node and l.b > r.seen)
-        select doc_id, node, min(seen) as `group` from reach group by doc_id, node"""
-    )
+    kind = "array<array<int>>"
+    listed = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")))).alias("ps"))
+
+    def step(acc: Column, p: Column) -> Column:
+        def has(g: Column) -> Column:
+            return F.array_contains(g, p["a"]) | F.array_contains(g, p["b"])
+
+        united = F.array_union(F.flatten(F.filter(acc, has)), F.array(p["a"], p["b"]))
+        return F.concat(F.filter(acc, lambda g: ~has(g)), F.array(united)).cast(kind)
+
+    got = listed.select("doc_id", F.explode(F.aggregate("ps", F.array().cast(kind), step)).alias("nodes"))
+    return got.select("doc_id", F.array_min("nodes").alias("group"), F.explode("nodes").alias("node"))
 
 
 def greedy_groups(pairs: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def rule_boundaries(texts: DataFrame) -> DataFrame:
     parts = []
     for k, pattern in enumerate(C.SEPARATORS):
         hits = found(texts, pattern)
-        head = F.regexp_extract(F.substring(F.col("text"), F.lit(1), F.col("start")), r"[^\n]*$", 0)
+        head = F.regexp_extract(F.substring(F.col("text"), F.lit(1), F.col("start")), r"[^\n]*\z", 0)
         tail = F.regexp_extract(F.substring(F.col("text"), F.col("end") + 1, F.length("text")), r"^[^\n]*", 0)
         line = F.length(F.trim(F.concat(head, F.col("value"), tail)))
         hits = hits.withColumn("stop", F.col("end") + F.length(tail)).where(F.length("value") / line > 0.7)
@@ -177,7 +177,7 @@ def needs_chunks(width: Column, height: Column, tokens: Column, most_width: int,
 
 def combined_chunks(chunks: DataFrame, gap: int = 20) -> DataFrame:
     """page_id and text of chunks(page_id, x1, y1, y2, text): by y and x, a blank line where more than `gap` is free."""
-    lines = F.array_join(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != ""), "\n")
+    lines = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
     order = Window.partitionBy("page_id").orderBy("y1", "x1")
     each = chunks.withColumn("lines", lines).where("lines != ''").withColumn("far", F.lead("y1").over(order) - F.col("y2") > gap).withColumn("k", F.row_number().over(order))
     part = F.concat(F.col("lines"), F.when(F.col("far"), "\n").otherwise(""))
