@@ -50,7 +50,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # unlike snappy it holds no buffers outside the heap
     return spark.read.schema(df.schema).parquet(path)
 
 
