@@ -125,9 +125,10 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 def greedy_groups(pairs: DataFrame) -> DataFrame:
     """doc_id, node and group by first-come assignment: a pair joins the first group that holds one of its two; two
-    groups are never united. A fold over a document's ordered pairs."""
+    groups are never united. A fold over a document's pairs in order: of `ord`, if there, then a and b."""
     kind = "array<array<int>>"
-    listed = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")))).alias("ps"))
+    order = F.col("ord") if "ord" in pairs.columns else F.lit(0)
+    listed = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("ord"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")))).alias("ps"))
 
     def step(acc: Column, p: Column) -> Column:
         first = F.filter(F.transform(acc, lambda g, i: F.when(F.array_contains(g, p["a"]) | F.array_contains(g, p["b"]), i)), lambda i: i.isNotNull())

@@ -135,7 +135,7 @@ def sifted(found_rows: DataFrame, distance: int = 100, most: int = 9) -> DataFra
 def segments(texts: DataFrame, kept: DataFrame, least: int = 50) -> DataFrame:
     """doc_id, seg_idx, start, end, text and confidence. Without boundaries the whole text; a head before the first one."""
     listed = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "confidence"))).alias("bs"))
-    both = texts.join(listed, "doc_id", "left")
+    both = texts.where("text is not null").join(listed, "doc_id", "left")
     size = F.length("text")
     none = F.array(F.struct(F.lit(0).alias("start"), F.lit(1.0).alias("confidence")))
     head = F.when(F.col("bs")[0]["start"] > 0, F.array(F.struct(F.lit(0).alias("start"), F.lit(0.8).alias("confidence")))).otherwise(F.array().cast("array<struct<start:int,confidence:double>>"))

@@ -424,7 +424,7 @@ def box_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {DOC_SQL}, x as (select doc_id, regexp_extract_all(text, '{extract.NAME_FIELD}', 1) as names, regexp_extract_all(text, '{extract.ANY_DATE}', 1) as ds, regexp_extract_all(text, '{extract.FIVE_DIGITS}', 1) as cpt, regexp_extract_all(text, '{extract.ICD_WHOLE}', 1) as icd,
   regexp_extract_all(text, '{extract.AMOUNT.replace(chr(92) + '$', '[$]')}', 1) as am from doc), e as (select *, unnest(names) as name, unnest(range(len(names))) as patient_index from x)
-  select doc_id, cast(patient_index as integer) as patient_index, string_split(name, ' ')[1] as first_name, array_to_string(string_split(name, ' ')[2:], ' ') as last_name, cast(strptime(ds[1], '%m/%d/%Y') as date) as date_of_birth, cast(strptime(ds[2], '%m/%d/%Y') as date) as date_of_service, array_to_string(cpt, ',') as cpt_codes, array_to_string(icd, ',') as icd10_codes, cast(replace(am[1], ',', '') as decimal(14,2)) as total_charge from e""")
+  select doc_id, cast(patient_index as integer) as patient_index, string_split(name, ' ')[1] as first_name, case when len(string_split(trim(name), ' ')) >= 2 then array_to_string(string_split(trim(name), ' ')[2:], ' ') else 'Patient' end as last_name, cast(strptime(ds[1], '%m/%d/%Y') as date) as date_of_birth, cast(strptime(ds[2], '%m/%d/%Y') as date) as date_of_service, array_to_string(cpt, ',') as cpt_codes, array_to_string(icd, ',') as icd10_codes, cast(replace(am[1], ',', '') as decimal(14,2)) as total_charge from e""")
 def superbill_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = extract.records(billing_texts(spark, sf_dir))
     return got.withColumn("cpt_codes", F.array_join("cpt_codes", ",")).withColumn("icd10_codes", F.array_join("icd10_codes", ","))

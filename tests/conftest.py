@@ -11,7 +11,7 @@ sys.path.insert(0, ROOT)
 def spark():
     from pyspark.sql import SparkSession
 
-    builder = SparkSession.builder.master("local[4]").appName("tests")
+    builder = SparkSession.builder.master("local[3]").appName("tests")
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "3g"}
     session = builder.config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
