@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import bits_of, byte_values, saved, shingle_hashes, ship, slices, text_bytes, word_hashes
+from billweave.llm.common import bits_of, byte_values, mix, saved, shingle_hashes, ship, slices, text_bytes, word_hashes
 from billweave.llm.components import components
 
 #: Bytes between words: space and \t to \r.
@@ -64,9 +64,9 @@ class Threshold:
     def sizes(self, n: int) -> range:
         return range(-(-self.num * n // self.den), self.den * n // self.num + 1)
 
-    def subsets(self, n: int) -> list[int]:
-        """Sizes of the subsets by which a set of n shingles meets others."""
-        return sorted({int(self.overlap(n, m)) for m in self.sizes(n)} & set(range(1, n + 1)))
+    def subsets(self, n: int) -> list[tuple[int, int]]:
+        """Sizes m of the sets that one of n shingles may link with, and of the subsets by which it meets those."""
+        return [(m, int(self.overlap(n, m))) for m in self.sizes(n) if self.overlap(n, m) <= min(n, m)]
 
 
 def doc_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +163,16 @@ def light_subsets(shingles: np.ndarray, size: int) -> np.ndarray:
     return total - shingles[at].sum(1, dtype=np.uint64)
 
 
+def meeting_names(shingles: np.ndarray, n: int, m: int, size: int) -> np.ndarray:
+    """Names under which a set of n shingles meets those of m: its subsets, apart for each pair of sizes."""
+    return mix(light_subsets(shingles, size) + np.uint64((min(n, m) << 32 | max(n, m)) * 0x9E3779B97F4A7C15 % 2**64))
+
+
 def postings(batches: Iterator[pa.RecordBatch], width: int, rank: np.ndarray, boundary: int, t: Threshold) -> Iterator[pa.RecordBatch]:
-    """token, node, n, pos of every distinct set of a task; pos -1 marks a subset of a light set."""
+    """token, node, n, pos of every distinct set of a task.
+
+    pos -1 marks a subset by which a light set meets those of its own size, -2 one for those of another size.
+    """
     seen: set[int] = set()
     heavy_from = t.sizes(boundary + 1).start if boundary else 1
     for batch in slices(batches):
@@ -179,9 +187,10 @@ def postings(batches: Iterator[pa.RecordBatch], width: int, rank: np.ndarray, bo
             seen.add(node)
             own = []
             if n <= boundary:
-                for c in t.subsets(n):
-                    sub = light_subsets(x, c) * np.uint64(2 * c + 1) + np.uint64(c)
-                    own.append((sub, np.full(len(sub), -1)))
+                for m, c in t.subsets(n):
+                    if m <= boundary:
+                        sub = meeting_names(x, n, m, c)
+                        own.append((sub, np.full(len(sub), -1 if m == n else -2)))
             if n >= heavy_from:
                 p = int(t.posted(n))
                 key = rank[bucket(x)].astype(np.uint64) << np.uint64(56) | x >> np.uint64(8)
@@ -320,7 +329,7 @@ def light_boundary(sizes: dict[int, int], t: Threshold) -> int:
         total, heavy_from = 0.0, t.sizes(boundary + 1).start if boundary else 1
         for n, many in sizes.items():
             if n <= boundary:
-                total += many * sum(comb(n, c) for c in t.subsets(n))
+                total += many * sum(comb(n, c) for m, c in t.subsets(n) if m <= boundary)
             if n >= heavy_from:
                 # a posting of a small set meets about as many others as there are sets of its size to each shingle
                 total += many * t.posted(n) * (1 + VERIFY_COST / max(n, 1))
@@ -371,8 +380,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, t: Threshold = Threshold(80,
     boundary = light_boundary(sizes, t)
     ranks = spark.sparkContext.broadcast(rank)
     posted = source.mapInArrow(lambda b: postings(b, width, ranks.value, boundary, t), "token long, node long, n int, pos int")
-    light = F.col("pos") < 0
-    lists = posted.repartition("token").sortWithinPartitions("token", light, "n", "node", "pos").mapInArrow(lambda b: shared_lists(b, t), "token long, node long, n int, pos int, leader long, leader_n int, leader_pos int")
+    lists = posted.repartition("token").sortWithinPartitions("token", F.col("pos") < 0, "n", "node", "pos").mapInArrow(lambda b: shared_lists(b, t), "token long, node long, n int, pos int, leader long, leader_n int, leader_pos int")
     lists = saved(lists, "lists")
     first = saved(facts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in PARITY)), "first")
     parity = first.drop("first")
@@ -392,7 +400,11 @@ def jaccard_groups(docs: DataFrame, width: int = 5, t: Threshold = Threshold(80,
     led = led.where(f"2 * met >= {least_met(t, 'n', 'leader_n')}")
     both = led.join(parity.alias("x"), F.expr("a = x.node")).join(parity.alias("y"), F.expr("b = y.node"))
     tried = decided(both.where(may_be_alike(t, "x", "leader_n", "y", "n")).select("a", "b"))
-    links = saved(lists.where("pos < 0 and node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().union(tried.where("ok").select("a", "b")), "links")
+    # light sets that share a subset link if their sizes are those that it stands for; then all of its list are connected
+    two_sizes = lists.where("pos = -2").groupBy("token").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).where("lo != hi").select("token")
+    light = lists.where("node != leader")
+    light = light.where("pos = -1").union(light.where("pos = -2").join(two_sizes, "token", "left_semi").select(*light.columns))
+    links = saved(light.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().union(tried.where("ok").select("a", "b")), "links")
     comp = components(links)
     heavy = heavy.select("token", "node", "n", "pos")
     overlap = f"(({2 * t.num} * n + {t.num + t.den - 1}) div {t.num + t.den})"

@@ -75,24 +75,36 @@ def test_jaccard_groups(docs, width, num):
     assert got == {k: (len(s), find(k)) for k, s in sets.items()}
 
 
-def test_light_and_heavy_agree():
-    """Subsets that two light sets share exactly if they link."""
-    from billweave.llm.ngram_join import Threshold, light_subsets
-
-    t = Threshold(85, 100)
-    pool = np.arange(1, 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for _ in range(300):
-        n = random.randint(1, 14)
-        a = set(random.sample(range(20), n))
-        b = set(a)
-        for _ in range(random.randint(0, 2)):
-            b.discard(random.choice(sorted(b)))
-            b.add(random.randrange(22))
-        names = []
-        for s in (a, b):
-            x = np.sort(pool[sorted(s)])
-            names.append({(c, int(v)) for c in t.subsets(len(s)) for v in light_subsets(x, c)})
-        assert bool(names[0] & names[1]) == (100 * len(a & b) >= 85 * len(a | b)), (a, b)
+@pytest.mark.parametrize("boundary", [0, 9, 18])
+def test_light_and_heavy_agree(spark, monkeypatch, boundary):
+    """Small sets give the same groups wherever the boundary lies."""
+    from billweave.llm import ngram_join
+
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):
+        n = rng.randint(1, 18)
+        base = set(rng.sample(range(24), n)) if k % 3 == 0 else set(rows[-1][1])
+        if k % 3:
+            base.discard(rng.choice(sorted(base)))
+            base |= {rng.randrange(26) for _ in range(rng.randint(1, 2))}
+        rows.append((k, tuple(sorted(base))))
+    parent = {k: k for k, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and 100 * len(set(x) & set(y)) >= 85 * len(set(x) | set(y)):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    monkeypatch.setattr(ngram_join, "light_boundary", lambda sizes, t: boundary)
+    docs = spark.createDataFrame([(k, " ".join(f"w{v}" for v in x)) for k, x in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(docs, 1, ngram_join.Threshold(85, 100)).collect()}
+    assert got == {k: find(k) for k, _ in rows}
 
 
 def test_keep_one(docs, empty):
