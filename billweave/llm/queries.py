@@ -96,4 +96,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_suffix_dedup, op8_decontamination, op9_license_scan, op10_byte_bpe,
     )
 }
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"list_filter(string_split_regex({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')".format(lower=_LOWER)
+
+#: DuckDB's SQL for the queries that SQL can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": rf"""with recursive w as (select doc_id, list_filter(string_split_regex({_LOWER}, '[\x09-\x0D\x20]+'), lambda w: w <> '') as ws from documents),
+      s as (select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as sh from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as i from w where len(ws) > 0)),
+      n as (select doc_id, count(*) as n from s group by doc_id),
+      p as (select a.doc_id as x, b.doc_id as y, count(*) as o from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+      link as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * o >= 85 * (a.n + b.n - o)),
+      e as (select x, y from link union select y, x from link),
+      reach as (select distinct x as doc_id, x as seen from e union select e.y, r.seen from reach r join e on e.x = r.doc_id),
+      c as (select doc_id, min(seen) as component_id from reach group by doc_id)
+      select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component_id, d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id left join c on c.doc_id = d.doc_id""",
+    "op8_decontamination": rf"""with d as (select doc_id, {_WORDS} as ws from documents), i as (select item_id, {_WORDS} as ws from benchmark),
+      win as (select distinct cast(item_id as varchar) as item_id, least(len(ws), 13) as k, array_to_string(ws[p:p + least(len(ws), 13) - 1], ' ') as g from (select *, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) as p from i where len(ws) > 0)),
+      run as (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as p from d cross join (select distinct k from win) where len(ws) >= k),
+      m as (select doc_id, p, run.k, item_id from run join win on win.k = run.k and win.g = array_to_string(ws[p:p + run.k - 1], ' ')),
+      h as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(p, p + k)) as q from m) group by doc_id),
+      t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from m) group by doc_id)
+      select d.doc_id, cast(len(d.ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.ws) as contaminated
+      from d left join h on h.doc_id = d.doc_id left join t on t.doc_id = d.doc_id""",
+}

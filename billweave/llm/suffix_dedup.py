@@ -32,14 +32,21 @@ GRAM = 32
 #: A longer text is cut into blocks that overlap by a window less one byte.
 BLOCK_BYTES = 4 << 20
 MAP_LOG2 = 24
+#: Bytes of pieces that a shard is to hold; an anchor that alone has more makes a larger one.
+SHARD_BYTES = 3 << 20
 
 
 def pieces(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """start, end, anchor hash and digest of the pieces of all windows of the texts."""
+    """start, end, anchor hash, digest, and hashes of the bytes on the left and the right of the anchor, of the pieces
+    of all windows of the texts.
+
+    The bytes beside the anchor are so many that each window has all of one side's; 0 where a piece has fewer.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
+    nothing = (none, none, *[none.astype(np.uint64)] * 4)
     if n < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(byte_values(False, 5)[data] * up[:n], out=total[1:])
@@ -58,13 +65,21 @@ def pieces(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.
     np.add.at(edge, off[1:][long] - length + 1, -1)
     window = np.flatnonzero(np.cumsum(edge[: n - length + 1]))
     if not len(window):
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     at = (least[window] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     fresh = np.concatenate([[True], (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1)])
     first = np.flatnonzero(fresh)
     start = window[first]
     end = window[np.append(first[1:], len(window)) - 1] + length
-    return start, end, grams[at[first]], mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+
+    side, place = (length - GRAM) // 2, at[first]
+    left = np.where(place - side >= start, hashed(np.maximum(place - side, 0), place), np.uint64(0))
+    after = np.minimum(place + GRAM, n)
+    right = np.where(after + side <= end, hashed(after, np.minimum(after + side, n)), np.uint64(0))
+    return start, end, grams[place], hashed(start, end), left, right
 
 
 def text_hash(raw: bytes) -> int:
@@ -82,7 +97,7 @@ def blocks(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.
         yield part, np.array([0, len(part)]), 0, at
 
 
-PIECE = "doc_id long, hash long, start int, end int, anchor long, digest long"
+PIECE = "doc_id long, hash long, start int, end int, anchor long, digest long, `left` long, `right` long"
 
 
 def described(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -91,13 +106,13 @@ def described(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         raw = data.tobytes()
         hashes = np.array([text_hash(raw[a:b]) if b - a >= length else 0 for a, b in zip(off.tolist(), off[1:].tolist())], np.int64)
         for part, cut, number, place in blocks(data, off, length):
-            start, end, anchor, digest = pieces(part, cut, length)
+            start, end, *hashed = pieces(part, cut, length)
             if not len(start):
                 continue
             doc = np.searchsorted(cut, start, "right") - 1
             base = cut[doc] - place
-            columns = [batch.column("doc_id").take(pa.array(doc + number)), pa.array(hashes[doc + number]), pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "start", "end", "anchor", "digest"])
+            columns = [batch.column("doc_id").take(pa.array(doc + number)), pa.array(hashes[doc + number]), pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in hashed)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "start", "end", "anchor", "digest", "left", "right"])
 
 
 def texts_in(batches: Iterator[pa.RecordBatch], wanted: Bits, inside: bool) -> Iterator[pa.RecordBatch]:
@@ -181,17 +196,20 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     every = saved(source.mapInArrow(lambda b: described(b, length), PIECE), "pieces")
     twice = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     shared = saved(every.join(twice, "anchor"), "shared")
-    alike = saved(shared.groupBy("anchor", "digest").agg(F.count("*").alias("times"), F.min(F.struct("hash", "doc_id", "start", "end")).alias("one")), "alike")
+    alike = saved(shared.groupBy("anchor", "digest").agg(F.count("*").alias("times"), F.min(F.struct("hash", "doc_id", "start", "end")).alias("one"), F.min("left").alias("left"), F.min("right").alias("right")), "alike")
     whole = shared.join(alike.where("times > 1").select("anchor", "digest"), ["anchor", "digest"]).select("doc_id", "hash", F.col("start").alias("from"), F.col("end").alias("to"))
-    several = alike.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("anchor")
+    # a window that two different pieces share holds all bytes on the left of their anchor or all on its right
+    sides = [alike.where(F.col(c) != 0).groupBy("anchor", c).agg(F.count("*").alias(f"same_{c}")).where(F.col(f"same_{c}") > 1) for c in ("left", "right")]
+    several = alike.join(sides[0], ["anchor", "left"], "left").join(sides[1], ["anchor", "right"], "left").where("same_left is not null or same_right is not null")
     # one of each different piece of an anchor, listed by the text that it is cut from
-    listed = alike.join(several, "anchor").select("one.doc_id", "one.hash", F.struct("anchor", "digest", "one.start", "one.end", (F.col("times") == 1).alias("alone")).alias("piece"))
+    listed = several.select("one.doc_id", "one.hash", F.struct("anchor", "digest", "one.start", "one.end", (F.col("times") == 1).alias("alone")).alias("piece"))
     listed = saved(listed.groupBy("doc_id", "hash").agg(F.collect_list("piece").alias("listed")), "listed")  # of one text
     held = spark.sparkContext.broadcast(bits_of(listed, "hash", MAP_LOG2))
     texts = source.mapInArrow(lambda b: texts_in(b, held.value, True), "doc_id long, hash long, text binary").dropDuplicates(["doc_id", "hash"])
     together = texts.alias("t").join(listed.alias("l"), F.expr("t.hash = l.hash and t.doc_id <=> l.doc_id")).select("t.doc_id", "t.hash", "t.text", "l.listed")
     cut = together.mapInArrow(cut_pieces, "anchor long, digest long, doc_id long, hash long, start int, alone boolean, bytes binary")
-    parts = cut.repartition("anchor").mapInArrow(lambda b: sorted_shard(b, length), "doc_id long, hash long, `from` int, `to` int")
+    size = listed.select(F.explode("listed").alias("p")).agg(F.coalesce(F.sum(F.col("p.end") - F.col("p.start")), F.lit(0)).alias("bytes")).first().bytes
+    parts = cut.repartition(max(1, -(-size // SHARD_BYTES)), "anchor").mapInArrow(lambda b: sorted_shard(b, length), "doc_id long, hash long, `from` int, `to` int")
     return saved(whole.union(parts), "removals")
 
 
