@@ -441,10 +441,15 @@ def jaccard_groups(docs: DataFrame, width: int = 5, t: Threshold = Threshold(80,
 
 
 def keep_one(docs: DataFrame, width: int = 5, t: Threshold = Threshold(80, 100)) -> DataFrame:
-    """The rows of docs without those that a linked or equal one with a smaller doc_id stands for; empty texts stay.
+    """The rows of docs without those that a linked or equal one with a smaller doc_id stands for.
 
-    Rows that share the smallest doc_id of a group stay once, with the first text in order.
+    Empty texts and rows without an id stay; of rows with equal id and text one stays.
     """
-    groups = jaccard_groups(docs, width, t)
+    groups = saved(jaccard_groups(docs, width, t), "groups")
     gone = groups.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = groups.where("node is not null and doc_id is not null").groupBy("doc_id", "node").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id").distinct()
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, "doc_id", "left_anti").unionByName(once)
