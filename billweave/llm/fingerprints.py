@@ -198,7 +198,7 @@ def fingerprints_beside_edits(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [k / (3 * parts) for k in range(1, 3 * parts)]
     bounds = source.select(F.percentile_approx("order", shares, 20 * parts).alias("at")).first().at or []
-    splits = [-float("inf"), *sorted({float(x) for x in bounds}), float("inf")]
+    splits = [-float("inf"), *(sorted({float(x) for x in bounds}) or [0.0]), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="value", outputCol="bucket")
     source = cut.transform(source.withColumn("value", F.col("order").cast("double"))).withColumn("bucket", F.col("bucket").cast("int")).drop("value")
     firsts = sorted(((r.bucket, r.first) for r in source.groupBy("bucket").agg(F.max("order").alias("first")).collect()), reverse=True)  # one for each range

@@ -155,6 +155,8 @@ class Model:
         A word that shares under three fifths of a landmark's letter pairs counts as unlike it.
         """
         out = np.zeros((len(off) - 1, len(self.landmarks)), np.float32)
+        if not self.landmarks:
+            return out
         data, off = squeezed(data, off)
         starts, ends, doc, word = distinct_words(data, off)
         mark_bits = gate(matrix(self.landmarks), 1)
