@@ -30,7 +30,7 @@ def test_chat_format(spark):
     assert got[2, 0, 1].problems == ["no call before it"] and not got[2, 1, 3].linked
     assert got[2, 1, 1].problems == ["waits for itself"] and got[2, 1, 1].level is None
     assert got[2, 2, 1].problems == ["format is not allowed", "url is no string", "more is unknown", "waits for a call that is not there"]
-    assert got[3, 0, 0].json == '{"message":{"content":"","role":null}}'
+    assert got[3, 0, 0].json == '{"content":"","role":null}'
     assert got[3, 1, 1].problems == ["no object with an id"] and got[3, 1, 3].problems == ["id is taken"]
 
 
