@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from billweave.llm.common import SLICE_BYTES, byte_values, mix, powers, ship, slices, text_bytes
+from billweave.llm.common import byte_values, mix, powers, ship, slices, text_bytes
 
 #: Entries of the cache of merged pieces in a worker; it is emptied when full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Bytes of the longest pieces that are merged as rows of a matrix; longer ones are merged by a heap.
 LONG_PIECE = 40
 NONE = np.int32(2**31 - 1)
@@ -305,7 +305,7 @@ def encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], keep: Seq
         _made.update(ranks=ranks, vocabulary=Vocabulary(ranks))
     vocabulary = _made["vocabulary"]
     sizes = vocabulary.sizes
-    for batch in slices(batches, limit=4 * SLICE_BYTES):
+    for batch in slices(batches):
         data, off = text_bytes(batch.column("text"))
         raw = data.tobytes()
         starts = token_starts(data, off)
