@@ -199,8 +199,13 @@ def refined(names: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarra
 
     Returns the active members that still share their name.
     """
-    order = np.lexsort((key, names[active]))
-    a, k, g = active[order], key[order], names[active][order]
+    if not len(active):
+        return active
+    group = names[active]
+    span = int(key.max()) + 1
+    # one number to sort by where it fits: that is much faster, and members that tie may stand in any order
+    order = np.argsort(group * span + key) if (int(group.max()) + 1) * span < 2**62 else np.lexsort((key, group))
+    a, k, g = active[order], key[order], group[order]
     new_group = np.concatenate([[True], g[1:] != g[:-1]])
     new = new_group | np.concatenate([[True], k[1:] != k[:-1]])
     place = np.arange(len(a))
@@ -264,17 +269,17 @@ def order_suffixes(symbols: np.ndarray, is_end: np.ndarray, most: int) -> np.nda
     return names
 
 
-def shared_prefix(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, stops: np.ndarray, cap: int) -> np.ndarray:
+def shared_prefix(raw: np.ndarray, a: np.ndarray, b: np.ndarray, stops: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix lengths of suffixes a and b, up to cap; none goes on over a separator (stops: their places)."""
     out = np.zeros(len(a), np.int64)
     most = np.minimum(cap, np.minimum(stops[np.searchsorted(stops, a)] - a, stops[np.searchsorted(stops, b)] - b))
     active = np.arange(len(a))
-    four = np.lib.stride_tricks.as_strided(symbols[:4].view(np.uint64), (len(symbols) - 3,), (2,))  # any four symbols in a row
+    eight = np.lib.stride_tricks.as_strided(raw[:8].view(np.uint64), (len(raw) - 7,), (1,))  # any eight bytes in a row
     while len(active):
         x, y = a[active] + out[active], b[active] + out[active]
-        differ = four[x] ^ four[y]
+        differ = eight[x] ^ eight[y]
         equal = differ == 0
-        out[active] += np.where(equal, 4, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 4)
+        out[active] += np.where(equal, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
         active = active[equal & (out[active] < most[active])]
     return np.minimum(out, most)
 
@@ -302,8 +307,8 @@ def _repeated_starts(text: np.ndarray, ends: np.ndarray, length: int, work: str,
     pieces, n = len(ends), len(text) + len(ends)
     if not pieces or not len(text):
         return np.zeros(0, np.int64)
-    padded = _array(work, "symbols", n + 4, np.int16, limit)  # four more, for reading by fours
-    symbols = padded[:n]
+    symbols = _array(work, "symbols", n, np.int16, limit)
+    raw = _array(work, "raw", n + 8, np.uint8, limit)  # eight more, for reading by eights
     is_end = _array(work, "ends", n, bool, limit)
     starts = np.concatenate([[0], ends[:-1]])
     place = np.arange(pieces)
@@ -315,6 +320,7 @@ def _repeated_starts(text: np.ndarray, ends: np.ndarray, length: int, work: str,
         base = int(starts[a]) + a
         inside[ends[a:b] + place[a:b] - base] = False
         symbols[base : base + len(inside)][inside] = text[starts[a] : ends[b - 1]].astype(np.int16) + 1
+        raw[base : base + len(inside)][inside] = text[starts[a] : ends[b - 1]]
     s_type = s_types(symbols, is_end)
     lms = lms_places(s_type)
     position = np.dtype(np.int32 if n < 2**31 else np.int64)
@@ -326,7 +332,7 @@ def _repeated_starts(text: np.ndarray, ends: np.ndarray, length: int, work: str,
     lcp = np.zeros(len(sorted_lms), np.uint16)
     for k in range(1, len(sorted_lms), BLOCK):
         upto = min(len(sorted_lms), k + BLOCK)
-        lcp[k:upto] = shared_prefix(padded, sorted_lms[k - 1 : upto - 1], sorted_lms[k:upto], stops, length)
+        lcp[k:upto] = shared_prefix(raw, sorted_lms[k - 1 : upto - 1], sorted_lms[k:upto], stops, length)
     first = symbols[sorted_lms]
     most = int(symbols.max())
     bounds = np.searchsorted(first, np.arange(most + 2))
@@ -340,7 +346,7 @@ def _repeated_starts(text: np.ndarray, ends: np.ndarray, length: int, work: str,
         for k in range(a, b, BLOCK):
             pos, values = sorted_lms[k : min(b, k + BLOCK)], lcp[k : min(b, k + BLOCK)].copy()
             if k == a:
-                values[0] = _seam(padded, stops, scan.before, int(pos[0]), length)
+                values[0] = _seam(raw, stops, scan.before, int(pos[0]), length)
             scan.take(bucket, pos, values, None, 0)
     del sorted_lms, lcp, first
     right = BucketQueue(work, "s", position, limit)
@@ -353,7 +359,7 @@ def _repeated_starts(text: np.ndarray, ends: np.ndarray, length: int, work: str,
         if order.has(bucket):
             for pos, values in order.blocks_back(bucket):
                 if seam:
-                    values[0] = _seam(padded, stops, scan.before, int(pos[0]), length)
+                    values[0] = _seam(raw, stops, scan.before, int(pos[0]), length)
                     seam = False
                 scan.take(bucket, pos, values, None, 0)
             order.drop(bucket)
@@ -361,10 +367,10 @@ def _repeated_starts(text: np.ndarray, ends: np.ndarray, length: int, work: str,
     return found - np.searchsorted(ends + place, found)
 
 
-def _seam(symbols: np.ndarray, stops: np.ndarray, a: int, b: int, cap: int) -> int:
+def _seam(raw: np.ndarray, stops: np.ndarray, a: int, b: int, cap: int) -> int:
     if a < 0:
         return 0
-    return int(shared_prefix(symbols, np.array([a]), np.array([b]), stops, cap)[0])
+    return int(shared_prefix(raw, np.array([a]), np.array([b]), stops, cap)[0])
 
 
 def _layers(scan: Scan, bucket: int, queue: BucketQueue, work: str, position: np.dtype, limit: int, keep: BucketQueue | None) -> None:
