@@ -42,7 +42,8 @@ DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"(?<![\w.@/])\(?[0-9][0-9\x20().\-]{5,}[0-9](?![\w@/])")
 DOTTED = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\x20?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?[0-9]{1,3}){3}(?![\w.])")
 SPELT = re.compile(r"(?<![\w.])[A-Za-z0-9][\w.%+-]{0,63}\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
-HINTS = (b"(at)", b"[at]", b" dot ", b"(dot)", b"[dot]")
+#: What SPELT can take instead of an @; every match of the other patterns has a digit or an @.
+HINTS = (b"(at)", b"[at]", b" at ")
 
 
 def luhn(digits: str) -> bool:
@@ -133,7 +134,7 @@ def examined(text: str) -> tuple[list[dict], list[dict]]:
 
 
 def worth_a_look(data: np.ndarray, off: np.ndarray, raw: bytes) -> np.ndarray:
-    """Whether a text has a digit, an @ or a spelt-out one."""
+    """Whether a text has a digit, an @ or a spelt-out one; without them no pattern matches."""
     flag = (data - np.uint8(48) < 10) | (data == 64)
     many = np.concatenate([[0], np.cumsum(flag)])
     out = many[off[1:]] > many[off[:-1]]

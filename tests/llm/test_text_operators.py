@@ -171,6 +171,31 @@ def test_context_finds_unseen(spark):
     assert masked[100] == "my phone number [PHONE] today" and masked[102] is None and masked[103] == "order 12345678 came"
 
 
+def test_known_strings_in_texts_without_digits(spark):
+    from billweave.llm.pii import personal_data, redacted
+
+    rows = [(k, f"write by email jane{k}@example.com please") for k in range(60)]
+    rows += [(100, "7 write by email john at example.com please"), (101, "Ask John, or john at example.com today"), (102, "by email mary AT example.net please"), (103, "we met at noon. yes")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in personal_data(docs).collect()}
+    assert got[100] == [(0, 17, 36)] and got[101] == [(0, 13, 32)] and got[102] == [(0, 9, 28)] and not got[103]
+    masked = {r.doc_id: r.text for r in redacted(docs).collect()}
+    assert masked[101] == "Ask John, or [EMAIL] today" and masked[102] == "by email [EMAIL] please" and masked[103] == rows[-1][1]
+
+
+def test_every_candidate_is_worth_a_look():
+    import pyarrow as pa
+
+    from billweave.llm.common import text_bytes
+    from billweave.llm.pii import examined, worth_a_look
+
+    parts = ["a", "K", "ſ", "é", ".", " ", "-", " at ", " AT ", "(at)", "[At]", " dot ", "(dot)", "[DOT]", "@", "7", "555-7788", "b.c"]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 8))) for _ in range(20_000)]
+    data, off = text_bytes(pa.array(texts))
+    look = worth_a_look(data, off, data.tobytes().lower())
+    assert not [t for t, x in zip(texts, look) if not x and any(examined(t))]
+
+
 def test_toxicity(spark):
     from billweave.llm.toxicity import score_documents, train, trains, without_toxic
 
