@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from billweave.llm.common import byte_values, mix, powers, ship, slices, text_bytes
 
-#: Entries of the cache of merged pieces in a worker; it is emptied when full.
+#: Entries of the cache of merged pieces in a worker; it is emptied between slices when full.
 CACHE_PIECES = 200_000
 #: Bytes of the longest pieces that are merged as rows of a matrix; longer ones are merged by a heap.
 LONG_PIECE = 40
@@ -207,10 +207,20 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.becomes[at], NONE)
 
-    def merge_many(self, pieces: list[bytes]) -> None:
-        """Puts pieces into the cache. Those of one length are merged in step, as rows of a matrix."""
-        if len(self.cache) + len(pieces) > CACHE_PIECES:
+    def of(self, pieces: list[bytes]) -> list[bytes]:
+        """The merged form of distinct pieces. All of them are held until they are put together, also more than the cache takes."""
+        held = {x: self.cache[x] for x in pieces if x in self.cache}
+        fresh = self.merged([x for x in pieces if x not in held])
+        if len(self.cache) + len(fresh) > CACHE_PIECES:
             self.cache.clear()
+        if len(fresh) <= CACHE_PIECES:
+            self.cache.update(fresh)
+        held.update(fresh)
+        return list(map(held.__getitem__, pieces))
+
+    def merged(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The merged form of each of pieces. Those of one length are merged in step, as rows of a matrix."""
+        out: dict[bytes, bytes] = {}
         by_size: dict[int, list[bytes]] = {}
         for x in pieces:
             by_size.setdefault(len(x), []).append(x)
@@ -218,19 +228,13 @@ class Vocabulary:
             if size == 1 or size > LONG_PIECE or len(group) < 8 or not len(self.pair):
                 for x in group:
                     rank = self.ranks.get(x)
-                    self.cache[x] = np.array([rank] if rank is not None else merge(x, self.ranks), "<u4").tobytes()
+                    out[x] = np.array([rank] if rank is not None else merge(x, self.ranks), "<u4").tobytes()
                 continue
             for k in range(0, len(group), 1 << 15):
-                self._merge_rows(group[k : k + (1 << 15)], size)
-
-    def of(self, pieces: list[bytes]) -> list[bytes]:
-        try:
-            return list(map(self.cache.__getitem__, pieces))
-        except KeyError:  # the cache was emptied for new pieces: those that it had are wanted too
-            self.merge_many(list({x for x in pieces if x not in self.cache}))
-            return list(map(self.cache.__getitem__, pieces))
+                self._merge_rows(group[k : k + (1 << 15)], size, out)
+        return out
 
-    def _merge_rows(self, group: list[bytes], size: int) -> None:
+    def _merge_rows(self, group: list[bytes], size: int, out: dict[bytes, bytes]) -> None:
         n = len(group)
         raw = np.frombuffer(b"".join(group), np.uint8).reshape(n, size)
         ids = self.of_byte[raw]
@@ -264,7 +268,7 @@ class Vocabulary:
             rank[r, p] = self.joined(ids[r, p], low[has])
         packed = ids[alive].astype("<u4").tobytes()
         ends = np.concatenate([[0], 4 * np.cumsum(alive.sum(1))]).tolist()
-        self.cache.update(zip(group, map(packed.__getitem__, map(slice, ends, ends[1:]))))
+        out.update(zip(group, map(packed.__getitem__, map(slice, ends, ends[1:]))))
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -312,7 +316,6 @@ def encode(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], keep: Seq
         one_of, which = distinct_pieces(data, starts)
         cuts = np.append(starts, len(raw))
         pieces = list(map(raw.__getitem__, map(slice, cuts[one_of].tolist(), cuts[one_of + 1].tolist())))
-        vocabulary.merge_many([x for x in pieces if x not in vocabulary.cache])
         packed = vocabulary.of(pieces)
         numbers = gather(np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) >> 2, which)
         ids = numbers.astype("<u4").tobytes()

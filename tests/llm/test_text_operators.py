@@ -325,3 +325,20 @@ def test_byte_bpe(docs, empty):
     for out in encode(iter([batch]), ranks, ["doc_id"]):
         for k, ids in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
             assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(odd[k]), odd[k]
+
+
+def test_byte_bpe_beyond_the_cache(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    import tiktoken
+
+    from billweave.llm import bpe
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
+    texts = ["the cat and the dog", "the cat " + " ".join(f"piece{k}q{k * 7919}x" for k in range(300)), "the dog ran", " ".join(f"the w{chr(97 + k)}" for k in range(26)), "the cat"]
+    slices = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x])], ["doc_id", "text"]) for k, x in enumerate(texts)]
+    got = [np.frombuffer(out.column(1)[0].as_py(), "<u4").tolist() for out in bpe.encode(iter(slices), ranks, ["doc_id"])]
+    assert got == [other.encode_ordinary(x) for x in texts]
+    assert len(bpe._made["vocabulary"].cache) <= 50
