@@ -78,6 +78,34 @@ def test_licences(spark):
     assert got == [(1, ["MIT"]), (2, ["CC-BY-NC-4.0", "all-rights-reserved"]), (3, []), (4, []), (5, ["Apache-2.0"]), (5, [])]
 
 
+def test_licences_keep_neighbours_apart(spark):
+    from billweave.llm.license_scan import licence_paragraphs, licences, train
+
+    model = train(spark)
+    named = {
+        "Released under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "Released under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "Licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0"],
+        "Licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0"],
+        "Licensed under the BSD 2-Clause License.": ["BSD-2-Clause"],
+        "Released under the BSD license.": ["BSD"],
+        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+        "Licensed under CC BY-SA 3.0.": [],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "Licensed under the Artistic License 1.0.": [],
+        "Released under the Q Public License 1.0.": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(named)), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licences(docs, model).collect()}
+    assert {x: got[k] for k, x in enumerate(named)} == named
+    assert 0 < model.least < 1
+    found = licence_paragraphs(docs, model)[1].collect()
+    assert found and min(r.probability for r in found) >= model.least
+    model.least = 1.1  # the threshold decides
+    assert not licence_paragraphs(docs, model)[1].count()
+
+
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("sf")
