@@ -19,7 +19,7 @@ whatever their names, are kept out of the way; an empty table gives an empty res
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,10 @@ SHORTEST, LONGEST_MARK, WORDS, STRINGS = 4, 12, 3000, 2000
 LEAST_TEXTS, LEAST_LIFT = 3, 20.0
 #: Bytes of a word that are compared at once; a longer one is compared in windows that overlap.
 LONGEST, OVERLAP = 40, 16
+#: A word is compared with a landmark if it has this share of its pairs of neighbouring letters, so far apart at most.
+PAIRS_SHARED, REACH = 0.6, 3
+#: Words whose kernel rows a Python worker holds.
+WORDS_HELD = 300_000
 
 _KEEP = np.zeros(256, bool)
 _KEEP[48:58] = _KEEP[65:91] = _KEEP[97:123] = _KEEP[128:] = True
@@ -75,13 +79,13 @@ def squeezed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return data, off
 
 
-def distinct_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the distinct words of a batch, and which text has which of them (once each)."""
+def distinct_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, starts and ends of the distinct words of a batch, and which text has which of them (once each)."""
     hashes, starts, ends, counts = word_hashes(data, off, _KEEP, byte_values(False, 3))
-    _, one_of, which = np.unique(hashes, return_index=True, return_inverse=True)
+    names, one_of, which = np.unique(hashes, return_index=True, return_inverse=True)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(counts))
     pairs = np.unique(doc.astype(np.int64) * max(len(one_of), 1) + which)
-    return starts[one_of], ends[one_of], pairs // max(len(one_of), 1), pairs % max(len(one_of), 1)
+    return names, starts[one_of], ends[one_of], pairs // max(len(one_of), 1), pairs % max(len(one_of), 1)
 
 
 def matrix(words: list[bytes] | None = None, data: np.ndarray | None = None, starts=None, ends=None) -> np.ndarray:
@@ -98,32 +102,31 @@ def matrix(words: list[bytes] | None = None, data: np.ndarray | None = None, sta
     return out
 
 
-def edged(rows: np.ndarray) -> np.ndarray:
-    """Rows of letters with an edge before and after."""
+def edged(rows: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Rows of letters with an edge before and after, where the flags say so."""
     out = np.zeros((len(rows), rows.shape[1] + 2), np.uint8)
-    out[:, 0] = EDGE
+    out[:, 0] = np.where(before, EDGE, 0)
     out[:, 1:-1] = rows
-    out[np.arange(len(rows)), (rows > 0).sum(1) + 1] = EDGE
+    out[np.arange(len(rows)), (rows > 0).sum(1) + 1] = np.where(after, EDGE, 0)
     return out
 
 
 def kernel(s: np.ndarray, mark: bytes) -> np.ndarray:
     """The subsequence kernel of each row of s (bytes padded with zeros) with a landmark."""
-    t = np.frombuffer(mark, np.uint8)
-    m = len(t)
-    lag = np.arange(m)[None, :] - np.arange(m)[:, None]
-    carry = np.where(lag >= 0, DECAY ** lag.clip(0), 0.0).astype(np.float32)
-    prior = [np.ones((len(s), m + 1), np.float32)] + [np.zeros((len(s), m + 1), np.float32) for _ in range(ORDER - 1)]  # K' of each length up to this letter of s
+    t = np.frombuffer(mark, np.uint8)[:, None]
+    m, letters = len(t), np.ascontiguousarray(s.T)
+    lag = np.arange(m)[:, None] - np.arange(m)[None, :]
+    carry = np.where(lag >= 0, DECAY ** lag.clip(0), 0.0).astype(np.float32) * np.float32(DECAY * DECAY)
+    prior = [np.ones((m + 1, len(s)), np.float32)] + [np.zeros((m + 1, len(s)), np.float32) for _ in range(ORDER - 1)]  # K' of each length up to this letter of s
     total = np.zeros(len(s), np.float32)
-    square = np.float32(DECAY * DECAY)
-    for j in range(s.shape[1]):
-        same = s[:, j : j + 1] == t[None, :]
-        total += (prior[ORDER - 1][:, :m] * same).sum(1) * square
-        fresh = [np.matmul(prior[k][:, :m] * same, carry) * square for k in range(ORDER - 1)]
-        for k, x in enumerate(fresh):
+    for letter in letters:
+        same = (letter == t).astype(np.float32)
+        met = [prior[k][:m] * same for k in range(ORDER)]
+        total += met[-1].sum(0)
+        for k in range(ORDER - 1):
             prior[k + 1] *= np.float32(DECAY)
-            prior[k + 1][:, 1:] += x
-    return total
+            prior[k + 1][1:] += carry @ met[k]
+    return total * np.float32(DECAY * DECAY)
 
 
 def similarity(s: np.ndarray, mark: bytes) -> np.ndarray:
@@ -131,16 +134,53 @@ def similarity(s: np.ndarray, mark: bytes) -> np.ndarray:
     return np.minimum(kernel(s, mark) / kernel(np.frombuffer(mark, np.uint8)[None, :], mark)[0], 1.0) ** POWER
 
 
-def gate(words: np.ndarray, reach: int) -> np.ndarray:
-    """Bits of the pairs of letters at most `reach` apart in each row."""
+def pair_bits(words: np.ndarray, reach: int) -> np.ndarray:
+    """64 bits of the pairs of letters at most `reach` apart in each row; different pairs may share a bit."""
     out = np.zeros(len(words), np.uint64)
+    letters = np.ascontiguousarray(words.T).astype(np.uint32)
+    first, second = letters * np.uint32(2654435761), letters * np.uint32(2246822519)
     for gap in range(1, reach + 1):
-        a, b = words[:, :-gap].astype(np.uint32), words[:, gap:].astype(np.uint32)
-        bit = np.left_shift(np.uint64(1), ((a * np.uint32(2654435761) + b * np.uint32(2246822519)) >> np.uint32(26)).astype(np.uint64))
-        out |= np.bitwise_or.reduce(np.where((a > 0) & (b > 0), bit, np.uint64(0)), axis=1)
+        for k in range(len(letters) - gap):
+            bit = np.left_shift(np.uint64(1), ((first[k] + second[k + gap]) >> np.uint32(26)).astype(np.uint64))
+            out |= np.where((letters[k] > 0) & (letters[k + gap] > 0), bit, np.uint64(0))
     return out
 
 
+def alike(rows: np.ndarray, mark: bytes, share: float = PAIRS_SHARED, reach: int = REACH) -> np.ndarray:
+    """Whether a row has `share` of the landmark's pairs of neighbouring letters, at most `reach` apart."""
+    letters = np.ascontiguousarray(rows.T)
+    pairs = set(zip(mark, mark[1:]))
+    at = {x: letters == x for x in set(mark)}
+    many = np.zeros(len(rows), np.int8)
+    for a, b in pairs:
+        many += np.logical_or.reduce([(at[a][:-gap] & at[b][gap:]).any(0) for gap in range(1, min(reach, len(letters) - 1) + 1)])
+    return many >= int(np.ceil(share * len(pairs)))
+
+
+class Rows:
+    """Kernel rows of words already met, by the words' hashes: sorted hashes, and the row of each in `values` or -1.
+
+    A row that is near zero throughout is not held. Over `WORDS_HELD` words all are let go; then they are computed anew.
+    """
+
+    def __init__(self, width: int):
+        self.names, self.place, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros((0, width), np.float32)
+
+    def missing(self, names: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.names, names)
+        return np.flatnonzero(self.names[np.minimum(at, len(self.names) - 1)] != names) if len(self.names) else np.arange(len(names))
+
+    def add(self, names: np.ndarray, values: np.ndarray) -> None:
+        strong = values.max(1, initial=0) > 1e-3
+        place = np.where(strong, len(self.values) + np.cumsum(strong) - 1, -1).astype(np.int32)
+        at = np.searchsorted(self.names, names)
+        self.names, self.place = np.insert(self.names, at, names), np.insert(self.place, at, place)
+        self.values = np.concatenate([self.values, values[strong]])
+
+    def of(self, names: np.ndarray) -> np.ndarray:
+        return self.place[np.searchsorted(self.names, names)] if len(names) else np.zeros(0, np.int32)
+
+
 @dataclass
 class Model:
     landmarks: list[bytes]
@@ -148,22 +188,21 @@ class Model:
     bias: float
     slope: float
     offset: float
+    met: Rows | None = field(default=None, repr=False, compare=False)  # of this process
 
-    def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The greatest kernel value of each text's words with each landmark.
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "met": None}
+
+    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Similarity of words to each landmark.
 
-        A word that shares under three fifths of a landmark's letter pairs counts as unlike it.
+        A word without `PAIRS_SHARED` of a landmark's letter pairs counts as unlike it. A very long word is compared in
+        windows; only its own ends count as edges.
         """
-        out = np.zeros((len(off) - 1, len(self.landmarks)), np.float32)
-        if not self.landmarks:
-            return out
-        data, off = squeezed(data, off)
-        starts, ends, doc, word = distinct_words(data, off)
-        mark_bits = gate(matrix(self.landmarks), 1)
-        need = np.ceil(0.6 * np.bitwise_count(mark_bits)).astype(np.int64)
+        marks = [(k, mark, pair_bits(matrix([mark]), 1)[0], len(set(zip(mark, mark[1:])))) for k, mark in enumerate(self.landmarks)]
         value = np.zeros((len(starts), len(self.landmarks)), np.float32)
         size = ends - starts
-        for low, high in ((ORDER, 8), (9, 16), (17, LONGEST), (LONGEST + 1, len(data))):
+        for low, high in ((1, 8), (9, 16), (17, LONGEST), (LONGEST + 1, len(data))):
             of = np.flatnonzero((size >= low) & (size <= high))
             begin, stop = starts[of], ends[of]
             if low > LONGEST:  # windows of the few very long words
@@ -172,20 +211,35 @@ class Model:
                 begin = np.repeat(begin, many) + within * (LONGEST - OVERLAP)
                 stop = np.minimum(begin + LONGEST, np.repeat(stop, many))
                 of = np.repeat(of, many)
-            if not len(of):
-                continue
-            rows = edged(matrix(data=data, starts=begin, ends=stop))
-            bits = gate(rows, 3)
-            for k, mark in enumerate(self.landmarks):
-                hit = np.flatnonzero(np.bitwise_count(bits & mark_bits[k]) >= need[k])
-                for j in range(0, len(hit), 1 << 14):
-                    at = hit[j : j + (1 << 14)]
-                    np.maximum.at(value[:, k], of[at], similarity(rows[at], mark))
-        strong = np.flatnonzero(value.max(1, initial=0) > 1e-3)
-        place = np.full(len(starts), -1)
-        place[strong] = strong
-        kept = place[word] >= 0
-        np.maximum.at(out, doc[kept], value[word[kept]])
+            for j in range(0, len(of), 1 << 14):
+                part = of[j : j + (1 << 14)]
+                first, last = begin[j : j + (1 << 14)], stop[j : j + (1 << 14)]
+                rows = edged(matrix(data=data, starts=first, ends=last), first == starts[part], last == ends[part])
+                bits = pair_bits(rows, REACH)
+                for k, mark, mark_bits, pairs in marks:
+                    # pairs that share a bit are counted once here, so no row is lost to it
+                    need = int(np.ceil(PAIRS_SHARED * pairs)) - (pairs - int(mark_bits.bit_count()))
+                    hit = np.flatnonzero(np.bitwise_count(bits & mark_bits) >= need)
+                    hit = hit[alike(rows[hit], mark)]
+                    if len(hit):
+                        np.maximum.at(value[:, k], part[hit], similarity(rows[hit], mark))
+        return value
+
+    def features(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The greatest similarity of each text's words to each landmark."""
+        out = np.zeros((len(off) - 1, len(self.landmarks)), np.float32)
+        if not self.landmarks:
+            return out
+        data, off = squeezed(data, off)
+        names, starts, ends, doc, word = distinct_words(data, off)
+        if self.met is None or len(self.met.names) > WORDS_HELD:
+            self.met = Rows(len(self.landmarks))
+        fresh = self.met.missing(names)
+        if len(fresh):
+            self.met.add(names[fresh], self.rows(data, starts[fresh], ends[fresh]))
+        place = self.met.of(names)[word]
+        kept = place >= 0
+        np.maximum.at(out, doc[kept], self.met.values[place[kept]])
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -284,7 +338,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, off = squeezed(*text_bytes(batch.column("text")))
-            starts, ends, doc, word = distinct_words(data, off)
+            _, starts, ends, doc, word = distinct_words(data, off)
             size = ends - starts
             raw = data.tobytes()
             spelt = np.array([raw[a:b].decode("utf-8", "replace") if ORDER <= b - a <= LONGEST else "" for a, b in zip(starts.tolist(), ends.tolist())], object)
