@@ -8,7 +8,8 @@ fit, foreign ones among them. A paragraph goes on if a family is likelier than u
 is confirmed if it has the marks and holds enough of one of the family's templates. Weights and templates are small tables
 of bounded size. Licences named without their version or clauses are families of their own.
 
-A paragraph without any word of an n-gram that speaks for a family is unknown in any case, so its n-grams are not built.
+The n-grams of most paragraphs are never built: each n-gram that speaks for a family has one word that stands for it, and
+a paragraph with fewer of these words than any family needs to become likelier than unknown is unknown in any case.
 
 Defined results: null and empty texts have one empty paragraph, which is unknown; of families equally likely the first in
 order counts; rows repeated in the input are rows of the output, also if they share a doc_id; other columns, whatever
@@ -273,11 +274,37 @@ class Model:
     families: list[str]  # unknown first
     bias: list[float]
     weights: DataFrame  # gram, weights (array by family); at most VOCABULARY rows
-    speaking: list[str]  # words of the n-grams that speak for a family
+    speaking: list[str]  # words that stand for the n-grams that speak for a family
+    needed: int  # so many of them a paragraph has that is not unknown
     templates: DataFrame  # family, template, gram, size
     least: float = 0.0  # probability under which a family is unknown
 
 
+def least_words(weights: dict[str, list[float]], bias: list[float]) -> tuple[list[str], int]:
+    """The words that stand for the n-grams that speak for a family, and how many of them any family needs at least.
+
+    An n-gram's word is its longest that is no stop word. The words' weights for a family, each the sum of its n-grams'
+    (over unknown's), bound the family's margin from above; the heaviest ones must make up for the biases.
+    """
+    held: dict[str, list[float]] = {}
+    for gram, x in weights.items():
+        word = max((w for w in gram.split(" ") if w not in STOP), key=lambda w: (len(w), w))
+        for k in range(1, len(bias)):
+            if x[k] > x[0]:
+                held.setdefault(word, [0.0] * len(bias))[k] += x[k] - x[0]
+    least = len(held)
+    for k in range(1, len(bias)):
+        total = bias[k] - bias[0]
+        for many, x in enumerate(sorted((v[k] for v in held.values()), reverse=True), 1):
+            if total > 0:
+                many = 0
+            total += x
+            if total > 0:
+                least = min(least, many)
+                break
+    return sorted(held), least
+
+
 def train(spark: SparkSession) -> Model:
     """Fits and calibrates a model on the notices."""
     from pyspark.ml.classification import LogisticRegression
@@ -294,11 +321,11 @@ def train(spark: SparkSession) -> Model:
     matrix, bias = machine.coefficientMatrix.toArray(), [float(x) for x in machine.interceptVector.toArray()]
     kept = [(gram, [float(x) for x in matrix[:, k]]) for k, gram in enumerate(counted.vocabulary) if abs(matrix[:, k]).max() > 1e-6]
     weights = spark.createDataFrame(kept, "gram string, weights array<double>")
-    speaking = sorted({w for gram, x in kept if max(x[1:]) > x[0] for w in gram.split(" ")} - set(STOP))
+    speaking, needed = least_words({gram: x for gram, x in kept}, bias)
     template_rows = [(f, f"{f} {k}", x) for f, notices_ in sorted(NOTICES.items()) for k, x in enumerate(notices_)]
     grams = spark.createDataFrame(template_rows, "family string, template string, text string").coalesce(1).withColumn("grams", grams_of(words_of(F.col("text"))))
     templates = grams.select("family", "template", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    model = Model(families, bias, weights, speaking, templates)
+    model = Model(families, bias, weights, speaking, needed, templates)
     # calibration: the temperature under which the held-out notices are least surprising
     scored = scores(notices.where("held_out").select(F.monotonically_increasing_id().alias("key"), "label", "grams"), model, ["key", "label", "grams"])
     scored = scored.select("label", marked(F.col("margins"), F.col("grams"), families).alias("margins")).collect()  # a few notices
@@ -355,7 +382,7 @@ def licence_paragraphs(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFr
     doc, paragraph (from 1), family, probability, held (share of the best template) and confirmed (marked as well)."""
     source = docs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\r\n]+").alias("paragraphs"))
     each = source.select("doc", "doc_id", F.size("paragraphs").alias("n_paragraphs"), F.posexplode(F.concat(F.array(F.lit("")), "paragraphs")).alias("paragraph", "text"))
-    each = each.withColumn("words", words_of(F.col("text"))).where((F.col("paragraph") == 0) | F.arrays_overlap("words", F.array(*map(F.lit, model.speaking))))
+    each = each.withColumn("words", words_of(F.col("text"))).where((F.col("paragraph") == 0) | (F.size(F.array_intersect("words", F.array(*map(F.lit, model.speaking)))) >= model.needed))
     each = saved(each.select("doc", "paragraph", F.when(F.col("paragraph") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("paragraph") == 0, F.col("n_paragraphs")).alias("n_paragraphs"), "words"), "paragraphs")
     rows = each.where("paragraph = 0").select("doc", "doc_id", "n_paragraphs")
     grams = each.where("paragraph > 0").select("doc", "paragraph", grams_of(F.col("words")).alias("grams"))
