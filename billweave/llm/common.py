@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,14 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that the numpy stages treat at once; their temporaries are some tens of times as large.
 SLICE_BYTES = 1 << 20
 
+#: Rows of an Arrow batch at most.
+ROWS_SENT = 2500
+
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); an own one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); an own one where that is unset, on one machine
+    only: elsewhere executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="billweave-"))
     return _own_dir[0]
@@ -33,8 +42,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors, once for each application: their Python need not have it."""
+    """Sends this package's sources to the executors, once for each application: their Python need not have it.
+
+    Rows go to Python `ROWS_SENT` at a time: a batch is held whole on both sides, and texts may be long.
+    """
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_SENT or int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 0:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_SENT))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
@@ -59,7 +73,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about `limit` bytes of `column`; a longer text is a piece of its own."""
+    """The same rows in pieces of about `limit` bytes of `column`; a longer text is a piece of its own.
+
+    After the last piece the worker gives back what it has freed, so that idle workers stay small.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,6 +87,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that was freed to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

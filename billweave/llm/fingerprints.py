@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import SLICE_BYTES, byte_values, mix, powers, ship, slices, text_bytes
+from billweave.llm.common import byte_values, mix, powers, ship, slices, text_bytes
 
 LEAST, TARGET, MOST = 8, 32, 128
 #: Bits that must be zero for a cut before and after the target size.
@@ -136,7 +136,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, extra, doc_id, text) in order; the first extra row of a bucket is the one after its last."""
     pending: pa.Table | None = None
-    for piece in slices(batches, limit=2 * SLICE_BYTES):
+    for piece in slices(batches):
         rows = pa.Table.from_batches([piece])
         rows = pa.concat_tables([pending, rows]) if pending is not None else rows
         rows = rows.combine_chunks()
