@@ -14,8 +14,9 @@ that this links form groups, and only pairs of different groups are taken from t
 pair has been decided. So large groups of copies cost a pair for each member, and still no link between groups is lost.
 
 Defined results: null texts, and texts without words, have an empty set and link with nothing; a text with fewer words
-than `width` has its whole sequence as its only shingle; rows repeated in the input are rows of the output; other columns,
-whatever their names, are kept out of the way unless named in `keep`; an empty table gives an empty result.
+than `width` has its whole sequence as its only shingle; rows repeated in the input are rows of the output; rows without an
+id link like others, and have the least id that links reach, if any; other columns, whatever their names, are kept out of
+the way; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -296,12 +297,12 @@ def nearest_pairs(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[p
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
-    """node and shingles (packed 64-bit hashes) of the rows whose doc_id may be wanted."""
+    """node and shingles (packed 64-bit hashes) of the rows whose doc_id may be wanted, and of rows without one."""
     import pyarrow.compute as pc
 
     for batch in batches:
         ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        batch = batch.filter(pa.array(wanted.has(ids.view(np.uint64))))
+        batch = batch.filter(pa.array(wanted.has(ids.view(np.uint64)) | batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)))
         for part in slices(iter([batch])):
             flat, off = doc_sets(part, width)
             rows = [(node_of(flat[a:b]), flat[a:b].tobytes()) for a, b in zip(off, off[1:]) if b > a]

@@ -4,8 +4,9 @@ Fixed patterns give the seeds: e-mail and IP addresses, card and phone numbers.
 every other string of such a shape, are its lexical patterns; strings and patterns make a graph, which Spark scores in
 rounds: a pattern is trusted for a kind as far as the strings that it surrounds are known to be of that kind (the lower
 bound of the share's confidence interval), a string that a trusted pattern surrounds and whose shape allows the kind
-becomes known, and known strings count as seeds in the next round. Strings known in the end, wherever they stand, are
-added to the spans; spans of the fixed patterns stay as they are.
+becomes known, and known strings count as seeds in the next round, until a round makes none known. Strings known in the
+end, wherever they stand, are added to the spans; spans of the fixed patterns stay as they are. Secrets (long tokens that
+are assigned to a name like `token` or `password`) seed a kind of their own, which is among the spans only.
 
 Offsets are in code points, ends exclusive. Defined results: null and empty texts have no spans; rows repeated in the
 input are rows of the output, with equal spans; of two kinds that trust a string alike the first listed one counts; other
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 
 from billweave.llm.common import Bits, bits_of, saved, ship, slices, text_bytes
 
-KINDS = ["email", "ip", "card", "phone"]
-EMAIL, IP, CARD, PHONE = range(4)
-#: Lower bound of a pattern's share of known strings (one-sided, 95 %), and rounds of scoring.
-TRUST, Z, ROUNDS = 0.85, 1.645, 3
+#: The first four have fixed patterns; secrets are found by what stands around them alone.
+KINDS = ["email", "ip", "card", "phone", "secret"]
+EMAIL, IP, CARD, PHONE, SECRET = range(5)
+#: Lower bound of a pattern's share of known strings (one-sided, 95 %).
+TRUST, Z = 0.85, 1.645
 MAP_LOG2 = 24
 
 # The patterns of the seeds.
@@ -42,6 +44,9 @@ DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"(?<![\w.@/])\(?[0-9][0-9\x20().\-]{5,}[0-9](?![\w@/])")
 DOTTED = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\x20?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?[0-9]{1,3}){3}(?![\w.])")
 SPELT = re.compile(r"(?<![\w.])[A-Za-z0-9][\w.%+-]{0,63}\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
+# Long tokens of letters and digits, and those of them that a name in front marks as secret.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{20,}(?![A-Za-z0-9_+/\-])")
+ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|api[_\x20-]?key|access[_\x20-]?key)[\"']?\x20{0,2}(?:=|:)\x20{0,2}[\"']?$", re.IGNORECASE)
 #: What SPELT can take instead of an @; every match of the other patterns has a digit or an @.
 HINTS = (b"(at)", b"[at]", b" at ")
 
@@ -84,16 +89,21 @@ def seeds(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def secrets(text: str) -> list[tuple[int, int, int]]:
+    """Long tokens that are assigned to a name of secrets."""
+    return [(SECRET, m.start(), m.end()) for m in TOKEN.finditer(text) if ASSIGNED.search(text[max(0, m.start() - 20) : m.start()])]
+
+
 def others(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """start, end and possible kinds (bits) of strings in such shapes that touch no seed."""
     found = []
-    for pattern in (SPELT, DOTTED, NUMBER):
+    for pattern in (SPELT, DOTTED, NUMBER, TOKEN):
         for m in pattern.finditer(text):
             if pattern is NUMBER:
                 many = sum(c.isdigit() for c in m.group())
                 kinds = (7 <= many <= 15) << PHONE | (13 <= many <= 19) << CARD
             else:
-                kinds = 1 << (EMAIL if pattern is SPELT else IP)
+                kinds = 1 << {SPELT: EMAIL, DOTTED: IP, TOKEN: SECRET}[pattern]
             if kinds:
                 found.append((m.start(), m.end(), kinds))
     out, taken = [], sorted((a, b) for _, a, b in known)
@@ -110,8 +120,8 @@ def name(x: str) -> int:
 
 def contexts(text: str, start: int, end: int) -> list[int]:
     """Names of the lexical patterns around a string: words before it, the word after it, and both."""
-    before = [w.strip(".,;()\"'").lower() for w in text[max(0, start - 80) : start].split()[-2:]]
-    after = [w.strip(".,;()\"'").lower() for w in text[end : end + 40].split()[:1]]
+    before = [x for w in text[max(0, start - 80) : start].split()[-3:] if (x := w.strip(".,;()\"'").lower())][-2:]
+    after = [x for w in text[end : end + 40].split()[:2] if (x := w.strip(".,;()\"'").lower())][:1]
     out = []
     if before:
         out.append("<" + before[-1])
@@ -125,9 +135,10 @@ def contexts(text: str, start: int, end: int) -> list[int]:
 
 
 def examined(text: str) -> tuple[list[dict], list[dict]]:
-    """Seeds, and every string of the graph with its patterns (kind -1: not a seed)."""
-    known = seeds(text)
-    base = [{"kind": k, "start": a, "end": b} for k, a, b in known]
+    """Matches of the fixed patterns, and every string of the graph with its patterns (kind -1: not a seed)."""
+    fixed = seeds(text)
+    base = [{"kind": k, "start": a, "end": b} for k, a, b in fixed]
+    known = fixed + [x for x in secrets(text) if not any(x[1] < b and a < x[2] for _, a, b in fixed)]
     graph = [{"kind": k, "start": a, "end": b, "kinds": 1 << k, "string": name(text[a:b]), "patterns": contexts(text, a, b)} for k, a, b in known]
     graph += [{"kind": -1, "start": a, "end": b, "kinds": bits, "string": name(text[a:b]), "patterns": contexts(text, a, b)} for a, b, bits in others(text, known)]
     return base, graph
@@ -173,7 +184,7 @@ EXAMINED = "doc_id long, hash long, base array<struct<kind:int,start:int,end:int
 def known_strings(strings: DataFrame) -> DataFrame:
     """string and kind of the strings that the graph makes known, seeds left out.
 
-    strings: rows (kind, kinds, string, patterns) of all seeds and other strings.
+    strings: rows (kind, kinds, string, patterns) of all seeds and other strings. Known strings only grow, so it ends.
     """
     edges = saved(strings.select("kind", "kinds", "string", F.explode("patterns").alias("pattern")).distinct(), "edges")
     known = edges.where("kind >= 0").select("string", "kind").distinct()
@@ -181,7 +192,7 @@ def known_strings(strings: DataFrame) -> DataFrame:
     unseen = edges.where("kind < 0").select("string", "kinds", "pattern")
     added = None
     share = f"(p + {Z * Z / 2} / n - {Z} * sqrt(p * (1 - p) / n + {Z * Z / 4} / (n * n))) / (1 + {Z * Z} / n)"
-    for _ in range(ROUNDS):
+    while True:
         hits = edges.select("pattern", "string").distinct().join(known, "string").groupBy("pattern", "kind").agg(F.count("*").alias("hits"))
         trusted = hits.join(total, "pattern").withColumn("p", F.col("hits") / F.col("n")).withColumn("trust", F.expr(share)).where(f"trust >= {TRUST}").select("pattern", "kind", "trust")
         found = unseen.join(trusted, "pattern").where("shiftright(kinds, kind) & 1 = 1").groupBy("string", "kind").agg(F.max("trust").alias("trust"))
@@ -200,7 +211,9 @@ def found_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(examine, EXAMINED), "examined")
     strings = facts.where("size(graph) > 0").select("doc_id", "hash", F.explode("graph").alias("s")).select("doc_id", "hash", "s.*")
     known = known_strings(strings.select("kind", "kinds", "string", "patterns"))
-    added = strings.where("kind < 0").drop("kind").join(known, "string").select("doc_id", "hash", F.struct("kind", "start", "end").alias("span")).distinct()
+    span = F.struct("kind", "start", "end").alias("span")
+    marked = strings.where(f"kind = {SECRET}").select("doc_id", "hash", span)
+    added = strings.where("kind < 0").drop("kind").join(known, "string").select("doc_id", "hash", span).union(marked).distinct()
     return facts, saved(added.groupBy("doc_id", "hash").agg(F.collect_list("span").alias("added")), "added")  # of one text
 
 
@@ -228,6 +241,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     _, added = found_spans(docs)
     held = spark.sparkContext.broadcast(bits_of(added, "hash", MAP_LOG2))
     names = docs.columns
+    own = "_" * (1 + max([0, *map(len, names)]))  # before names of columns that docs doesn't have
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def mask(batch: pa.RecordBatch, rows: np.ndarray, more: dict[int, list] | None) -> pa.RecordBatch:
@@ -258,17 +272,17 @@ def redacted(docs: DataFrame) -> DataFrame:
             if not on.any():
                 continue
             if inside:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(hashes)], [*names, "__hash"]).filter(pa.array(on))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(hashes)], [*names, f"{own}hash"]).filter(pa.array(on))
             else:
                 yield mask(batch, on, None)
 
     def mask_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            more = [[(x["kind"], x["start"], x["end"]) for x in row or []] for row in batch.column("__added").to_pylist()]
+            more = [[(x["kind"], x["start"], x["end"]) for x in row or []] for row in batch.column(f"{own}added").to_pylist()]
             yield mask(batch, np.ones(batch.num_rows, bool), more)
 
     plain = docs.mapInArrow(lambda b: split(b, held.value, False), docs.schema)
-    few = docs.mapInArrow(lambda b: split(b, held.value, True), f"{kinds}, __hash long")
-    extra = added.select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__h"), F.col("added").alias("__added"))
-    joined = few.join(extra, F.expr("__hash = __h and doc_id <=> __doc"), "left").select(*names, "__added")
+    few = docs.mapInArrow(lambda b: split(b, held.value, True), f"{kinds}, `{own}hash` long")
+    extra = added.select(F.col("doc_id").alias(f"{own}doc"), F.col("hash").alias(f"{own}h"), F.col("added").alias(f"{own}added"))
+    joined = few.join(extra, F.expr(f"`{own}hash` = `{own}h` and doc_id <=> `{own}doc`"), "left").select(*(F.col(f"`{c}`") for c in [*names, f"{own}added"]))
     return plain.union(joined.mapInArrow(mask_joined, docs.schema))

@@ -57,7 +57,7 @@ def test_page_rank_against_matrix(spark):
     from billweave.llm.url_filter import propagated
 
     edges = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("c", "d", 3), ("d", "b", 1)]
-    got = {r.host: (r.trust, r.distrust) for r in propagated(spark.createDataFrame(edges, "src string, dst string, pages long"), spark.createDataFrame([("a", 1.0, 0.0), ("d", 0.0, 2.0)], "host string, good double, bad double"), tolerance=1e-9, most=60).collect()}
+    got = {r.host: (r.trust, r.distrust) for r in propagated(spark.createDataFrame(edges, "src string, dst string, pages long"), spark.createDataFrame([("a", 1.0, 0.0), ("d", 0.0, 2.0)], "host string, good double, bad double"), tolerance=1e-4).collect()}
     names = "abcd"
     forward = np.zeros((4, 4))
     for s, d, w in edges:
@@ -70,6 +70,57 @@ def test_page_rank_against_matrix(spark):
         assert [got[n][k] for n in names] == pytest.approx(x.tolist(), abs=1e-4)
 
 
+def test_ranks_reach_their_limit_and_every_host(spark):
+    from billweave.llm.url_filter import propagated
+
+    schema = "host string, good double, bad double"
+    circle = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, pages long").coalesce(1)
+    got = {r.host: r.trust for r in propagated(circle, spark.createDataFrame([("a", 1.0, 0.0)], schema).coalesce(1), tolerance=0.05).collect()}
+    assert abs(got["a"] - 1 / 1.85) < 0.05 and abs(got["b"] - 0.85 / 1.85) < 0.05
+    chain = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1) for k in range(12)], "src string, dst string, pages long").coalesce(1)
+    got = propagated(chain, spark.createDataFrame([("h0", 1.0, 0.0), ("h12", 0.0, 1.0)], schema).coalesce(1), tolerance=100.0).collect()
+    assert len(got) == 13 and all(r.trust > 0 and r.distrust > 0 for r in got)
+
+
+def test_written_hosts_in_any_case(spark):
+    from billweave.llm.url_filter import host_edges
+
+    pages = spark.createDataFrame([("a.org", "see Bad.Example.NET now"), ("bad.example.net", None), ("a.org", "")], "host string, html string")
+    assert [(r.src, r.dst, r.pages) for r in host_edges(pages).collect()] == [("a.org", "bad.example.net", 1)]
+    assert host_edges(pages.limit(0)).count() == 0
+
+
+def test_urls_without_pages_or_with_clashing_columns(spark):
+    from billweave.llm.url_filter import judged, rule
+
+    rules = [rule("block", "net/")]
+    pages = spark.createDataFrame([(1, "http://a.net/", "", "x", 1.0), (1, "http://a.net/", "", "x", 1.0)], "page_id long, url string, html string, host string, trust double")
+    assert [(r.host, r.verdict) for r in judged(pages, rules).collect()] == [("a.net", "block")] * 2
+    assert judged(pages.limit(0), rules).count() == 0
+
+
+def test_licence_words_needed(spark):
+    """The gate is a bound: a paragraph that the gate drops is unknown without it, too."""
+    from billweave.llm.license_scan import NOTICES, least_words, licences, train
+
+    assert least_words({"a bb ccc": [0.0, 0.8], "bb": [0.0, 0.4], "x": [1.0, 0.0]}, [0.0, -1.0]) == (["bb", "ccc"], 2)
+    model = train(spark)
+    rows = [x for notices in NOTICES.values() for x in notices] + ["public work", "the mit", "license", "no part", "free software version 2", "", None]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    gated = {r.doc_id: (r.families, r.doubtful) for r in licences(docs, model).collect()}
+    model.needed = 0
+    assert gated == {r.doc_id: (r.families, r.doubtful) for r in licences(docs, model).collect()}
+
+
+def test_licences_of_empty_and_clashing_tables(spark):
+    from billweave.llm.license_scan import licences, train
+
+    model = train(spark)
+    docs = spark.createDataFrame([(1, "x\n" * 3000 + "Released under the MIT License.", "y", 2)] * 2, "doc_id long, text string, doc string, paragraph int")
+    assert [(r.doc_id, r.families) for r in licences(docs, model).collect()] == [(1, ["MIT"])] * 2
+    assert licences(docs.limit(0), model).count() == 0
+
+
 def test_licences(spark):
     from billweave.llm.license_scan import licences, train
 

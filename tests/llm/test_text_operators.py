@@ -107,6 +107,18 @@ def test_light_and_heavy_agree(spark, monkeypatch, boundary):
     assert got == {k: find(k) for k, _ in rows}
 
 
+def test_rows_without_an_id_link(spark):
+    from billweave.llm.ngram_join import Threshold, jaccard_groups
+
+    words = [f"w{k}" for k in range(200)]
+    a, b, c = words[:], words[:], words[:]
+    b[100] = "x"
+    c[100], c[3] = "x", "y"
+    rows = [(7, " ".join(a)), (None, " ".join(b)), (9, " ".join(c)), (None, "alone"), (None, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1, Threshold(98, 100)).collect()), key=str)
+    assert got == sorted([(7, 200, 7), (None, 200, 7), (9, 200, 7), (None, 1, None), (None, 0, None)], key=str)
+
+
 def test_keep_one(docs, empty):
     from billweave.llm.ngram_join import jaccard_groups, keep_one
 
@@ -171,6 +183,67 @@ def test_context_finds_unseen(spark):
     assert masked[100] == "my phone number [PHONE] today" and masked[102] is None and masked[103] == "order 12345678 came"
 
 
+def brute_known(rows):
+    """The graph's fixpoint in plain Python: (string, kind) that become known. rows: (kind, kinds, string, patterns)."""
+    from billweave.llm.pii import TRUST, Z
+
+    edges = {(p, s) for _, _, s, ps in rows for p in ps}
+    known = {(s, k) for k, _, s, ps in rows if k >= 0 and ps}
+    seeds = {s for s, _ in known}
+    while True:
+        trust = {}
+        for p in {p for p, _ in edges}:
+            held = {s for q, s in edges if q == p}
+            n = len(held)
+            for kind in range(5):
+                hits = sum((s, kind) in known for s in held)
+                x = hits / n
+                low = (x + Z * Z / 2 / n - Z * (x * (1 - x) / n + Z * Z / 4 / n / n) ** 0.5) / (1 + Z * Z / n)
+                if hits and low >= TRUST:
+                    trust[p, kind] = low
+        fresh, have = set(), {s for s, _ in known}
+        for s in {s for k, _, s, _ in rows if k < 0} - have:
+            best = min(((-trust[p, kind], kind) for k, kinds, t, ps in rows if k < 0 and t == s for p in ps for kind in range(5) if kinds >> kind & 1 and (p, kind) in trust), default=None)
+            if best:
+                fresh.add((s, best[1]))
+        if not fresh:
+            return {x for x in known if x[0] not in seeds}
+        known |= fresh
+
+
+def test_graph_against_brute_force(spark):
+    """Chains of patterns that take more rounds than a few: every link is found, and none besides."""
+    from billweave.llm.pii import known_strings
+
+    rng, rows, at = random.Random(3), [], 1000
+    for chain in range(6):  # each pattern is trusted once the strings of the one before are known
+        group = [(3, 8, at + k, [chain * 10]) for k in range(20)]
+        at += 20
+        for step in range(7):
+            strings = list(range(at, at + 20))
+            at += 20
+            group += [(-1, 8 if rng.random() < 0.9 or step < 3 else 4, s, [chain * 10 + step, chain * 10 + step + 1]) for s in strings]
+        rows += group
+    rows += [(rng.choice([-1, 0, 1, 2, 3, 4]), rng.choice([1, 2, 4, 8, 16, 12]), rng.randrange(40), [rng.randrange(500, 508)]) for _ in range(200)]
+    rows += [(2, 4, 5000 + k, [900]) for k in range(80)] + [(-1, 12, 6000, [900]), (-1, 1, 6001, [900]), (-1, 4, 6002, [])]
+    got = known_strings(spark.createDataFrame(rows, "kind int, kinds int, string long, patterns array<long>"))
+    assert {(r.string, r.kind) for r in got.collect()} == brute_known(rows)
+
+
+def test_secrets_are_spans(spark):
+    from billweave.llm.pii import personal_data, redacted
+
+    rows = [(k, f'so token = "{hashlib.sha1(str(k).encode()).hexdigest()}" it is') for k in range(3)] + [(9, "the value abcdefghijklmnopqrst0123456789 stands"), (10, ""), (10, ""), (None, "ab")]
+    docs = spark.createDataFrame([(k, t, "x", "y", 1) for k, t in rows], "doc_id long, text string, __hash string, __added string, n_chars int")
+    got = {r.doc_id: r for r in personal_data(docs).collect()}
+    assert [(s.kind, s.start, s.end) for s in got[1].spans] == [(4, 12, 52)] and not got[1].base and not got[9].spans
+    masked = redacted(docs)
+    assert masked.columns == docs.columns and masked.count() == len(rows)
+    assert {r.text for r in masked.where("doc_id < 3").collect()} == {'so token = "[SECRET]" it is'}
+    assert {r.n_chars for r in masked.where("doc_id < 3").collect()} == {27}
+    assert personal_data(docs.limit(0)).count() == 0 and redacted(docs.limit(0)).count() == 0
+
+
 def test_known_strings_in_texts_without_digits(spark):
     from billweave.llm.pii import personal_data, redacted
 
@@ -222,6 +295,53 @@ def test_toxicity(spark):
     assert score_documents(docs.limit(3), nothing).count() == 3
 
 
+def plain_kernel(s, t, decay=0.4):
+    """Weighted common subsequences of three letters, by listing them."""
+    import itertools
+
+    def listed(x):
+        out = collections.defaultdict(list)
+        for at in itertools.combinations(range(len(x)), 3):
+            out[tuple(x[k] for k in at)].append(at[-1] - at[0] + 1)
+        return out
+
+    a, b = listed(s), listed(t)
+    return sum(decay ** (i + j) for key in a if key in b for i in a[key] for j in b[key])
+
+
+def test_kernel_against_plain_sums():
+    from billweave.llm.toxicity import alike, kernel, matrix
+
+    rng = random.Random(8)
+    for _ in range(60):
+        mark = bytes(rng.choice(b"\1abcd") for _ in range(rng.randint(3, 9)))
+        words = [bytes(rng.choice(b"\1abcde") for _ in range(rng.randint(1, 10))) for _ in range(6)] + [mark]
+        rows = matrix(words)
+        assert kernel(rows, mark) == pytest.approx([plain_kernel(w, mark) for w in words], rel=1e-4, abs=1e-7)
+        pairs = set(zip(mark, mark[1:]))
+        want = [sum(any(a == w[i] and b == w[j] for i in range(len(w)) for j in range(i + 1, min(i + 4, len(w)))) for a, b in pairs) >= np.ceil(0.6 * len(pairs)) for w in words]
+        if rows.shape[1] > 1:
+            assert alike(rows, mark).tolist() == want
+
+
+def test_rows_of_words_are_held_and_let_go(monkeypatch):
+    """Features don't depend on what a worker has met before, nor on how much it may hold."""
+    import pyarrow as pa
+
+    from billweave.llm import toxicity
+    from billweave.llm.common import text_bytes
+
+    marks = [b"\1nitwit\1", b"\1block", b"ckhea"]
+    parts = [prose(40) + " " + random.choice(["nitwit", "n i t w i t", "blokkhead", "x" * 50 + "blockhead" + "y" * 40, "no"]) for _ in range(40)] + ["", "ab", "block" + "z" * 100]
+    whole = toxicity.Model(marks, np.zeros(3), 0.0, 1.0, 0.0).features(*text_bytes(pa.array(parts)))
+    assert whole.max(0).min() > 0.5
+    for held in (300_000, 3):
+        monkeypatch.setattr(toxicity, "WORDS_HELD", held)
+        model = toxicity.Model(marks, np.zeros(3), 0.0, 1.0, 0.0)
+        got = np.concatenate([model.features(*text_bytes(pa.array([x]))) for x in parts])
+        assert np.array_equal(got, whole)
+
+
 def test_removal_of_repeats(docs, empty, spark):
     from billweave.llm.suffix_dedup import without_repeats
 
