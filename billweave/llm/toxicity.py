@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import SLICE_BYTES, byte_values, saved, ship, slices, text_bytes, word_hashes
+from billweave.llm.common import byte_values, saved, ship, slices, text_bytes, word_hashes
 
 SAMPLE = 10_000
 ORDER, DECAY, POWER = 3, 0.4, 2
@@ -367,7 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model = Model(landmarks, np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2 * SLICE_BYTES):
+        for batch in slices(batches):
             x = model.features(*text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("toxic")], ["x", "toxic"])
 
@@ -390,7 +390,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2 * SLICE_BYTES):
+        for batch in slices(batches):
             scores = held.value.score(held.value.features(*text_bytes(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores.astype(np.float64))], ["doc_id", "score"])
 
@@ -403,7 +403,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2 * SLICE_BYTES):
+        for batch in slices(batches):
             scores = held.value.score(held.value.features(*text_bytes(batch.column("text"))))
             if (scores < threshold).any():
                 yield batch.filter(pa.array(scores < threshold))
