@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 MATCHES = "array<struct<value:string,start:int,end:int>>"
 
 
+def hits_and_gaps(text: Column, pattern: str) -> tuple[Column, Column]:
+    """The matches of a pattern, and what split() leaves between them: what placed() takes."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches of a pattern as array<struct<value,start,end>>, from the left, 0-based and end exclusive.
 
-    The gaps that split() leaves and the matches give the offsets, so no Python runs; null text has no matches.
+    Null text has no matches. Where each row is searched once only, bind hits_and_gaps() to columns and use placed().
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    return placed(*hits_and_gaps(text, pattern))
+
+
+def placed(hits: Column, gaps: Column) -> Column:
+    """Matches with their offsets, which follow from the gaps between them, so that no Python runs."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("found"))
 
     def step(state: Column, pair: Column) -> Column:
@@ -26,7 +34,7 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(stop.alias("at"), F.array_append(state["found"], F.struct(pair["hit"].alias("value"), begin.alias("start"), stop.alias("end"))).alias("found"))
 
     pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.when(F.coalesce(F.size(hits), F.lit(0)) == 0, F.array().cast(MATCHES)).otherwise(F.aggregate(pairs, start, step)["found"].cast(MATCHES))
+    return F.coalesce(F.aggregate(pairs, start, step)["found"].cast(MATCHES), F.array().cast(MATCHES))
 
 
 def context(text: Column, start: Column, end: Column, width: int = 50) -> Column:

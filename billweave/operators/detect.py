@@ -5,7 +5,7 @@ Every detector is a native generator: matches with offsets, a filter, a score. T
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,19 +15,40 @@ from pyspark.sql.window import Window
 from billweave.functions import constants as C
 from billweave.functions import scores
 from billweave.functions.dates import standard_date
-from billweave.functions.text import context, matches
+from billweave.functions.text import context, hits_and_gaps, placed
 
 Score = Callable[[Column, Column, Column, Column], Column]
 COLUMNS = ["doc_id", "field_type", "value", "confidence", "start", "end", "context"]
+# The patterns of dates.
 DATE_PATTERNS = [
     r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", r"\b\d{1,2}/\d{1,2}/\d{2}\b", r"\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b",
     r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}, \d{4}\b", r"\b\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4}\b",
 ]
 
+STREET = r"(?i)\d+\s+[A-Za-z\s]+(?:" + "|".join(C.STREETS) + r")\b"
+TOWN = r"(?s)^.*?[A-Za-z\s]+,?\s+(?:" + "|".join(C.STATES) + r")\s+\d{5}(?:-\d{4})?"
+
 
 def found(texts: DataFrame, pattern: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, text, value, start and end of every match."""
-    return texts.select(*keys, "text", F.inline(matches(F.col("text"), pattern)))
+    return found_any(texts, [pattern], keys).drop("k")
+
+
+def found_any(texts: DataFrame, patterns: Sequence[str], keys: tuple[str, ...] = ("doc_id",), least: int = 1) -> DataFrame:
+    """keys, text, k (the pattern's number), value, start and end of every match of each pattern that has `least` in the
+    text, from one pass over the texts: each pattern is searched once."""
+    bound = []
+    for k, p in enumerate(patterns):
+        hits, gaps = hits_and_gaps(F.col("text"), p)
+        bound += [hits.alias(f"hits{k}"), gaps.alias(f"gaps{k}")]
+
+    def numbered(k: int) -> Column:
+        hits = F.col(f"hits{k}")
+        each = F.transform(placed(hits, F.col(f"gaps{k}")), lambda x: F.struct(F.lit(k).alias("k"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end")))
+        return each if least < 2 else F.when(F.size(hits) >= least, each).otherwise(F.slice(each, 1, 0))
+
+    every = F.concat(*map(numbered, range(len(patterns)))) if len(patterns) > 1 else numbered(0)
+    return texts.select(*keys, "text", *bound).select(*keys, "text", F.inline(every))
 
 
 def _rows(hits: DataFrame, kind: str | Column, confidence: Column, width: int = 50, value: Column | None = None) -> DataFrame:
@@ -51,8 +72,7 @@ def diagnoses(texts: DataFrame) -> DataFrame:
 
 def amounts(texts: DataFrame) -> DataFrame:
     """A bag: the three patterns overlap, and every match of each counts."""
-    every = reduce(DataFrame.unionByName, [found(texts, p) for p in C.MONEY])
-    return _rows(every, "monetary_amount", _scored(scores.money), 30)
+    return _rows(found_any(texts, C.MONEY), "monetary_amount", _scored(scores.money), 30)
 
 
 def provider_numbers(texts: DataFrame) -> DataFrame:
@@ -62,14 +82,15 @@ def provider_numbers(texts: DataFrame) -> DataFrame:
 
 def identifiers(texts: DataFrame) -> DataFrame:
     """Social security numbers, phones of ten digits and e-mail addresses."""
-    phone = found(texts, C.PHONE).where(F.length(F.regexp_replace("value", r"[^0-9]", "")) == 10)
-    parts = [_rows(found(texts, C.SSN), "ssn", F.lit(0.9)), _rows(phone, "phone", F.lit(0.8)), _rows(found(texts, C.EMAIL), "email", F.lit(0.85))]
-    return reduce(DataFrame.unionByName, parts)
+    every = found_any(texts, [C.SSN, C.PHONE, C.EMAIL])
+    every = every.where((F.col("k") != 1) | (F.length(F.regexp_replace("value", r"[^0-9]", "")) == 10))
+    kind, score = (F.get(F.array(*map(F.lit, x)), F.col("k")) for x in (("ssn", "phone", "email"), (0.9, 0.8, 0.85)))
+    return _rows(every, kind, score)
 
 
 def dates(texts: DataFrame, as_of: Column) -> DataFrame:
     """Dates by five patterns, each place once, that can be read; the value is the ISO date."""
-    every = reduce(DataFrame.unionByName, [found(texts, p) for p in DATE_PATTERNS]).dropDuplicates(["doc_id", "start", "end"])
+    every = found_any(texts, DATE_PATTERNS).drop("k").dropDuplicates(["doc_id", "start", "end"])
     iso = standard_date(F.col("value"), as_of)
     hits = every.withColumn("iso", iso).where("iso is not null")
     score = scores.date(F.col("value"), F.col("text"), F.col("start"), F.col("end"), F.lit(True))
@@ -88,9 +109,7 @@ def names(texts: DataFrame) -> DataFrame:
 
 def addresses(texts: DataFrame) -> DataFrame:
     """Street addresses that a city, state and ZIP code follow within 200 characters; the value reaches to the ZIP."""
-    street = r"(?i)\d+\s+[A-Za-z\s]+(?:" + "|".join(C.STREETS) + r")\b"
-    town = r"(?s)^.*?[A-Za-z\s]+,?\s+(?:" + "|".join(C.STATES) + r")\s+\d{5}(?:-\d{4})?"
-    hits = found(texts, street).withColumn("value", F.regexp_extract(F.substring(F.col("text"), F.col("start") + 1, F.lit(200)), town, 0)).where("value != ''")
+    hits = found(texts, STREET).withColumn("value", F.regexp_extract(F.substring(F.col("text"), F.col("start") + 1, F.lit(200)), TOWN, 0)).where("value != ''")
     hits = hits.withColumn("end", F.col("start") + F.length("value"))
     return _rows(hits, "address", scores.address(F.col("value")), 30)
 

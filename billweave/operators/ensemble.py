@@ -64,6 +64,12 @@ def best_reading(results: DataFrame, by: str = "confidence") -> DataFrame:
     return results.withColumn("rank", F.row_number().over(image.orderBy(F.desc("key"), "ord"))).where("rank = 1").drop("rank", "key")
 
 
+def combined(results: DataFrame) -> DataFrame:
+    """The most confident reading of each image under the ensemble's own name; the first on a tie."""
+    order = F.struct(-F.col("confidence"), F.col("ord"))
+    return results.groupBy("image_id").agg(F.min_by("text", order).alias("text"), F.max("confidence").alias("confidence")).withColumn("model", F.lit("weighted_ensemble"))
+
+
 def with_minimum(results: DataFrame, least: int = 2) -> DataFrame:
     """image_id, n and status of every image: consensus, best, or ensemble_failed without readings of any text."""
     n = results.groupBy("image_id").agg(F.count_if(F.length(F.coalesce("text", F.lit(""))) > 0).alias("n"))

@@ -62,8 +62,8 @@ def code_details(records: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def with_four_diagnoses(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A row for each procedure, with the first four diagnoses in columns."""
-    columns = [F.get(F.col("icd10_codes"), F.lit(k))["code"].alias(f"diagnosis_code_{k + 1}") for k in range(4)]
-    return records.select(*keys, F.explode_outer("cpt_codes").alias("c"), *columns).select(*keys, F.col("c.code").alias("cpt_code"), *(f"diagnosis_code_{k + 1}" for k in range(4)))
+    columns = [F.get(F.col("icd10_codes"), F.lit(k))[f].alias(f"diagnosis_{n}_{k + 1}") for n, f in (("code", "code"), ("desc", "description")) for k in range(4)]
+    return records.select(*keys, F.explode_outer("cpt_codes").alias("c"), *columns).select(*keys, F.col("c.code").alias("cpt_code"), *(f"diagnosis_{n}_{k + 1}" for n in ("code", "desc") for k in range(4)))
 
 
 def as_json(df: DataFrame, metadata: dict[str, str] | None = None) -> DataFrame:
@@ -125,6 +125,11 @@ def pages_report(results: DataFrame) -> DataFrame:
     return results.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text", "confidence", "model"))).alias("pages"), F.round(F.avg("confidence"), 4).alias("avg_confidence"))
 
 
+def patients_only(results: DataFrame) -> DataFrame:
+    """The records inside results(doc_id, success, patients array<struct>), one a row; failed results give none."""
+    return results.where("success").select("doc_id", F.posexplode("patients").alias("patient_index", "p")).select("doc_id", "patient_index", "p.*")
+
+
 def successful(results: DataFrame) -> DataFrame:
     return results.where("success")
 
@@ -138,8 +143,10 @@ def checked_path(path: str, root: str | None = None) -> str:
     return full
 
 
-def write(df: DataFrame, path: str, kind: str = "json", partition_by: Sequence[str] = ()) -> None:
-    """Writes rows as csv, json, xml, text or parquet; an unknown kind counts as json."""
+def write(df: DataFrame, path: str, kind: str = "json", partition_by: Sequence[str] = (), root: str | None = None) -> None:
+    """Writes rows as csv, json, xml, text or parquet; an unknown kind counts as json. With root, a path that leaves it
+    is refused."""
+    path = checked_path(path, root) if root is not None else path
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

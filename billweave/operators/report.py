@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -112,3 +114,50 @@ def eviction_order(models: DataFrame, most: int = 3) -> DataFrame:
 def all_runs(files: DataFrame, models: DataFrame) -> DataFrame:
     """Every file with every model; models is a handful of rows."""
     return files.crossJoin(F.broadcast(models))
+
+
+def dashboard_rows(runs: DataFrame) -> DataFrame:
+    """One row a run, by the dashboard's names."""
+    return runs.select(F.col("model").alias("model_name"), F.col("file").alias("file_name"), F.col("seconds").alias("extraction_time"), "confidence", F.col("patients").alias("patient_count"), "text_length", F.col("cpt_codes").alias("cpt_codes_extracted"), F.col("completeness").alias("data_completeness_score"), F.col("ts").alias("timestamp"))
+
+
+def document_confidence(documents: DataFrame, records: DataFrame) -> DataFrame:
+    """doc_id and the mean confidence of its records: 0 without records, one half where none has a confidence."""
+    by_doc = records.groupBy("doc_id").agg(F.coalesce(F.avg("confidence"), F.lit(0.5)).alias("mean"))
+    return documents.select("doc_id").join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("mean", F.lit(0.0)).alias("confidence"))
+
+
+def export_counts(records: DataFrame) -> DataFrame:
+    """Counts that the exports and pages show, in one row: records, codes, charges, records on several pages."""
+    many = F.size("page_numbers") > 1
+    return records.agg(F.count("*").alias("patients"), F.sum(F.size("cpt_codes")).alias("total_cpt_codes"), F.sum(F.size("icd10_codes")).alias("total_icd10_codes"), F.sum("total_charge").alias("total_charges"), F.count_if(many).alias("multi_page_patients"))
+
+
+def patients_by_page(records: DataFrame) -> DataFrame:
+    """doc_id, page_no and nodes: the records of a page in order."""
+    return records.groupBy("doc_id", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "node"))), lambda x: x["node"]).alias("nodes"))
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """The runs of one session added to the fact table, a folder for each day."""
+    runs.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def filled_share(fields: Sequence[str], lists: Sequence[str], nested: Sequence[str], schema: StructType) -> Column:
+    """Share of filled fields of a record: plain ones, lists, and the members of nested structs that are there."""
+
+    def filled(c: Column) -> Column:
+        return (F.coalesce(c.cast("string"), F.lit("")) != "").cast("int")
+
+    total, have = F.lit(len(fields) + len(lists)), F.lit(0)
+    for c in fields:
+        have = have + filled(F.col(c))
+    for c in lists:
+        have = have + (F.coalesce(F.size(c), F.lit(0)) > 0).cast("int")
+    for c in nested:
+        inner = schema[c].dataType.fieldNames()
+        there = F.col(c).isNotNull()
+        total = total + F.when(there, len(inner)).otherwise(0)
+        for k in inner:
+            have = have + F.when(there, filled(F.col(f"{c}.{k}"))).otherwise(0)
+    return have / total

@@ -12,7 +12,6 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
@@ -142,14 +141,16 @@ def greedy_groups(pairs: DataFrame) -> DataFrame:
 
 def merged(records: DataFrame, grouped: DataFrame) -> DataFrame:
     """One record for each group: the most confident one, its gaps filled from the others, codes united, pages listed."""
+    order = F.struct(-F.col("confidence"), F.col("node"))
     got = records.join(grouped, ["doc_id", "node"])
-    order = Window.partitionBy("doc_id", "group").orderBy(F.desc("confidence"), "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    fields = ["first_name", "last_name", "date_of_birth", "patient_id"]
-    filled = [F.first(c, ignorenulls=True).over(order).alias(c) for c in fields]
-    codes = [F.array_distinct(F.flatten(F.collect_list(c).over(order))).alias(c) for c in ("cpt_codes", "icd10_codes")]
-    pages = F.array_sort(F.collect_set("page_no").over(order)).alias("page_numbers")
-    best = got.select("doc_id", "group", "node", *filled, *codes, pages, F.max("confidence").over(order).alias("confidence"), F.row_number().over(Window.partitionBy("doc_id", "group").orderBy(F.desc("confidence"), "node")).alias("rank"))
-    return best.where("rank = 1").drop("rank")
+    return got.groupBy("doc_id", "group").agg(F.min_by("node", order).alias("node"), *_in_order(order), F.array_sort(F.collect_set("page_no")).alias("page_numbers"), F.max("confidence").alias("confidence"))
+
+
+def _in_order(order: Column) -> list[Column]:
+    """Aggregates of a group's records: the first filled field by the order, and all codes once each."""
+    filled = [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("first_name", "last_name", "date_of_birth", "patient_id")]
+    listed = [F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(c).alias("codes")))) for c in ("cpt_codes", "icd10_codes")]
+    return filled + [F.array_distinct(F.flatten(F.transform(x, lambda r: r["codes"]))).alias(c) for x, c in zip(listed, ("cpt_codes", "icd10_codes"))]
 
 
 def leaders(records: DataFrame, least: float = 0.7) -> DataFrame:
@@ -173,10 +174,26 @@ def leaders(records: DataFrame, least: float = 0.7) -> DataFrame:
 def merged_by_completeness(records: DataFrame, led: DataFrame) -> DataFrame:
     """One record for each leader: the more complete record's fields go first; codes are united."""
     filled = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in ("first_name", "last_name", "date_of_birth", "patient_id")]) + (F.size("cpt_codes") > 0).cast("int") + (F.size("icd10_codes") > 0).cast("int")
+    order = F.struct(-F.col("filled"), F.col("idx"))
     got = records.join(led, ["doc_id", "idx"]).withColumn("filled", filled)
-    order = Window.partitionBy("doc_id", "leader").orderBy(F.desc("filled"), "idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    fields = [F.first(c, ignorenulls=True).over(order).alias(c) for c in ("first_name", "last_name", "date_of_birth", "patient_id")]
-    codes = [F.array_distinct(F.flatten(F.collect_list(c).over(order))).alias(c) for c in ("cpt_codes", "icd10_codes")]
-    pages = F.array_sort(F.collect_set("page_no").over(order)).alias("source_pages")
-    rank = F.row_number().over(Window.partitionBy("doc_id", "leader").orderBy(F.desc("filled"), "idx")).alias("rank")
-    return got.select("doc_id", "leader", *fields, *codes, pages, rank).where("rank = 1").drop("rank")
+    return got.groupBy("doc_id", "leader").agg(*_in_order(order), F.array_sort(F.collect_set("page_no")).alias("source_pages"))
+
+
+def optimised(records: DataFrame, least: float = 0.7, least_codes: float = 0.6) -> DataFrame:
+    """Records of adjacent pages merged where their codes tell more than their names do.
+
+    In documents in which pairs alike by codes add any to those alike by person, linked records become one; all other
+    documents keep their records. page_numbers lists the pages; the order is page_no and idx.
+    """
+    placed = records.withColumn("node", F.col("page_no").cast("int") * 65536 + F.col("idx").cast("int"))
+    alike = cross_page_pairs(placed, least)
+    keys = ["doc_id", "page_a", "a", "page_b", "b"]
+    more = code_pairs(placed, least_codes).join(alike.select(*keys), keys, "left_anti")
+    pairs = alike.unionByName(more).join(more.select("doc_id").distinct(), "doc_id", "left_semi")
+    nodes = pairs.select("doc_id", (F.col("page_a").cast("int") * 65536 + F.col("a").cast("int")).alias("a"), (F.col("page_b").cast("int") * 65536 + F.col("b").cast("int")).alias("b"))
+    grouped = groups(nodes)
+    out = ["doc_id", "node", "first_name", "last_name", "date_of_birth", "patient_id", "cpt_codes", "icd10_codes", "page_numbers", "confidence"]
+    united = merged(placed, grouped).select(*out)
+    single = placed.join(grouped.select("doc_id", "node"), ["doc_id", "node"], "left_anti").withColumn("page_numbers", F.array("page_no")).select(*out)
+    every = united.unionByName(single)
+    return every.select("doc_id", F.expr("node div 65536").cast("int").alias("page_no"), (F.col("node") % 65536).alias("idx"), *out[2:], (F.size("page_numbers") > 1).alias("spans_multiple_pages"))

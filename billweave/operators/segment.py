@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from billweave.functions import constants as C
-from billweave.functions.text import bonus, context, count_of, has_any, matches
-from billweave.operators.detect import found
+from billweave.functions.text import bonus, context, count_of, has_any
+from billweave.operators.detect import found_any
 
 BOUNDARY = ["doc_id", "start", "end", "kind", "confidence", "method", "ord"]
+# The patterns of labelled codes.
 LABELLED = [
     r"(?i)(?:CPT|PROCEDURE)[\s#:]*(\d{5})", r"(?i)(?:CODE|PROC)[\s#:]*(\d{5})", r"\b(\d{5})\s*-\s*[A-Za-z]",
     r"(?i)(?:ICD|DIAGNOSIS)[\s#:-]*([A-Z]\d{2}(?:\.[A-Z0-9]{1,3})?)", r"(?i)(?:DX|DIAG)[\s#:]*([A-Z]\d{2}(?:\.[A-Z0-9]{1,3})?)", r"\b([A-Z]\d{2}(?:\.[A-Z0-9]{1,3})?)\s*-\s*[A-Za-z]",
@@ -34,39 +35,30 @@ def near_demographics(text: Column, start: Column, end: Column) -> Column:
 
 
 def keyword_boundaries(texts: DataFrame, least: float = 0.8) -> DataFrame:
-    parts = []
-    for k, word in enumerate(C.BOUNDARY_KEYWORDS):
-        near = F.lower(context(F.col("text"), F.col("start"), F.col("end"), 50))
-        score = F.least(F.lit(1.0), 0.7 + (0.2 if word in C.STRONG_KEYWORDS else 0.0) + F.least(F.lit(0.2), 0.05 * count_of(near, C.PATIENT_TERMS)))
-        parts.append(_boundaries(found(texts, rf"(?i)\b{word}\b"), "keyword_separator", score, 0, order=F.lit(k)))
-    return reduce(DataFrame.unionByName, parts).where(F.col("confidence") >= least)
+    near = F.lower(context(F.col("text"), F.col("start"), F.col("end"), 50))
+    strong = F.get(F.array(*(F.lit(0.2 if word in C.STRONG_KEYWORDS else 0.0) for word in C.BOUNDARY_KEYWORDS)), F.col("k"))
+    score = F.least(F.lit(1.0), 0.7 + strong + F.least(F.lit(0.2), 0.05 * count_of(near, C.PATIENT_TERMS)))
+    every = found_any(texts, [rf"(?i)\b{word}\b" for word in C.BOUNDARY_KEYWORDS])
+    return _boundaries(every, "keyword_separator", score, 0, order=F.col("k")).where(F.col("confidence") >= least)
 
 
 def identifier_boundaries(texts: DataFrame) -> DataFrame:
     gate = near_demographics(F.col("text"), F.col("start"), F.col("end"))
-    return reduce(DataFrame.unionByName, [_boundaries(found(texts, p).where(gate), "form_structure", F.lit(0.85), 1, order=F.lit(k)) for k, p in enumerate(C.PATIENT_IDS)])
+    return _boundaries(found_any(texts, C.PATIENT_IDS).where(gate), "form_structure", F.lit(0.85), 1, order=F.col("k"))
 
 
 def repeated_boundaries(texts: DataFrame) -> DataFrame:
     """Fields that a text holds more than once."""
-    parts = []
-    for k, pattern in enumerate(C.REPEATED_FIELDS):
-        every = texts.select("doc_id", matches(F.col("text"), pattern).alias("hits")).where(F.size("hits") > 1).select("doc_id", F.inline("hits"))
-        parts.append(_boundaries(every, "pattern_repeat", F.lit(0.7), 2, order=F.lit(k)))
-    return reduce(DataFrame.unionByName, parts)
+    return _boundaries(found_any(texts, C.REPEATED_FIELDS, least=2), "pattern_repeat", F.lit(0.7), 2, order=F.col("k"))
 
 
 def rule_boundaries(texts: DataFrame) -> DataFrame:
     """Runs of ten separators or more that fill most of their line."""
-    parts = []
-    for k, pattern in enumerate(C.SEPARATORS):
-        hits = found(texts, pattern)
-        head = F.regexp_extract(F.substring(F.col("text"), F.lit(1), F.col("start")), r"[^\n]*\z", 0)
-        tail = F.regexp_extract(F.substring(F.col("text"), F.col("end") + 1, F.length("text")), r"^[^\n]*", 0)
-        line = F.length(F.trim(F.concat(head, F.col("value"), tail)))
-        hits = hits.withColumn("stop", F.col("end") + F.length(tail)).where(F.length("value") / line > 0.7)
-        parts.append(_boundaries(hits, "form_structure", F.lit(0.6), 3, F.col("stop"), F.lit(k)))
-    return reduce(DataFrame.unionByName, parts)
+    head = F.regexp_extract(F.substring(F.col("text"), F.lit(1), F.col("start")), r"[^\n]*\z", 0)
+    tail = F.regexp_extract(F.substring(F.col("text"), F.col("end") + 1, F.length("text")), r"^[^\n]*", 0)
+    line = F.length(F.trim(F.concat(head, F.col("value"), tail)))
+    hits = found_any(texts, C.SEPARATORS).withColumn("stop", F.col("end") + F.length(tail)).where(F.length("value") / line > 0.7)
+    return _boundaries(hits, "form_structure", F.lit(0.6), 3, F.col("stop"), F.col("k"))
 
 
 def line_boundaries(texts: DataFrame, least: float = 0.5) -> DataFrame:
@@ -82,7 +74,7 @@ def line_boundaries(texts: DataFrame, least: float = 0.5) -> DataFrame:
 
 def labelled_codes(texts: DataFrame) -> DataFrame:
     """Codes with a label or a description: doc_id, start, code_end."""
-    return reduce(DataFrame.unionByName, [found(texts, p).select("doc_id", "start", "end") for p in LABELLED])
+    return found_any(texts, LABELLED).select("doc_id", "start", "end")
 
 
 def code_clusters(texts: DataFrame, gap: int = 300) -> DataFrame:
@@ -194,3 +186,44 @@ def kept_boxes(boxes: DataFrame, most: int = 10, least_width: float = 0.1, least
 
     kept = F.aggregate("bs", F.array().cast(kind), lambda acc, b: F.when((F.size(acc) < most) & ~F.exists(acc, lambda a: iou(a, b) > most_overlap), F.array_append(acc, b)).otherwise(acc))
     return listed.select("page_id", F.inline(kept))
+
+
+# Labelled values of a person, and words that open another one.
+PERSON_VALUES = [r"(?i)Name:\s*([A-Za-z\s]+)", r"(?i)DOB:\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"(?i)Patient\s+ID:\s*(\w+)", r"(?i)MRN:\s*(\w+)"]
+NEW_PERSON = [r"(?i)Patient\s*Information", r"(?i)Patient\s*Demographics", r"(?i)New\s*Patient", r"(?i)Insurance\s*Information"]
+
+
+def different_people(before: Column, after: Column, least: float = 0.7) -> Column:
+    """Whether two texts seem to be about different people: a labelled value of the one is unlike one of the other
+    (by edits over the longer length), or the second opens a new person."""
+
+    def values(text: Column) -> Column:
+        every = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in PERSON_VALUES))
+        return F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: x != "")
+
+    def unlike(a: Column, b: Column) -> Column:
+        return 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)) < least
+
+    opened = reduce(lambda a, b: a | b, [after.rlike(p) for p in NEW_PERSON])
+    return F.coalesce(F.exists(values(before), lambda a: F.exists(values(after), lambda b: unlike(a, b))) | opened, F.lit(False))
+
+
+def sifted_again(found_rows: DataFrame, texts: DataFrame, distance: int = 100, most: int = 10) -> DataFrame:
+    """Of boundaries at most `distance` apart the more confident; none between a label and its value; then the `most`
+    confident ones, in order."""
+    kind = "array<struct<start:int,method:int,ord:int,confidence:double,kind:string>>"
+    listed = found_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "method", "ord", "confidence", "kind"))).cast(kind).alias("bs"))
+
+    def step(kept: Column, b: Column) -> Column:
+        last = F.element_at(kept, -1)
+        near = (F.size(kept) > 0) & (b["start"] - last["start"] <= distance)
+        swapped = F.array_append(F.slice(kept, 1, F.size(kept) - 1), b)
+        return F.when(near & (b["confidence"] > last["confidence"]), swapped).when(near, kept).otherwise(F.array_append(kept, b))
+
+    kept = listed.select("doc_id", F.inline(F.aggregate("bs", F.array().cast(kind), step))).join(texts.select("doc_id", "text"), "doc_id")
+    head = F.substring(F.col("text"), F.greatest(F.col("start") - 50, F.lit(0)) + 1, F.least(F.col("start"), F.lit(50)))
+    tail = F.substring(F.col("text"), F.col("start") + 1, F.lit(50))
+    whole = kept.where(~(head.rlike(r":\s*$") & tail.rlike(r"^\s*[A-Za-z0-9]")))
+    best = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "start")
+    top = whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    return top.withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).select("doc_id", "idx", "start", "kind", "confidence")

@@ -135,3 +135,32 @@ def mixed_record_issues(first: Column, last: Column, gender: Column, birth: Colu
         listed(C.GERIATRIC, "geriatric", "young patient", age < 18),
     ]
     return F.concat(present[0], *found, present[1])
+
+
+def cpt_problem(code: Column) -> Column:
+    """What is wrong with a procedure code by its form and range, or null."""
+    n = code.try_cast("int")
+    return F.when(~F.coalesce(code.rlike(r"^\d{5}$"), F.lit(False)), "Invalid CPT code format (must be 5 digits)").when(n < 100, "CPT code out of valid range").when(~code.isin(*C.CPT_CODES) & cpt_category(code).isNull(), "Unknown CPT code")
+
+
+def icd_problem(code: Column) -> Column:
+    """The same for a diagnosis code, trimmed and in upper case."""
+    plain = F.upper(F.trim(code))
+    return F.when(~F.coalesce(plain.rlike(r"^[A-Z]\d{2}(\.[A-Z0-9]{1,3})?$"), F.lit(False)), "Invalid ICD-10 code format").when(~plain.isin(*C.ICD_CODES) & icd_chapter(plain).isNull(), "Unknown ICD-10 code format")
+
+
+def validation_report(records: DataFrame, as_of: Column) -> DataFrame:
+    """The records' other columns with errors, warnings (arrays) and overall_valid: codes one by one, both dates, and what
+    is missing."""
+
+    def wrong(kind: str, codes: str, problem) -> Column:
+        named = F.transform(codes, lambda c: F.concat(F.lit(f"Invalid {kind} code: "), c, F.lit(" - "), problem(c)))
+        return F.filter(F.coalesce(named, F.array().cast("array<string>")), lambda x: x.isNotNull())
+
+    birth, service = F.col("date_of_birth"), F.col("date_of_service")
+    dates = F.array(F.concat(F.lit("Date of birth validation failed: "), birth_date_problem(birth, as_of)), F.concat(F.lit("Service date validation failed: "), service_date_problem(service, birth, as_of)))
+    errors = F.concat(wrong("CPT", "cpt_codes", cpt_problem), wrong("ICD-10", "icd10_codes", icd_problem), F.filter(dates, lambda x: x.isNotNull()))
+    bare = (F.coalesce(F.size("cpt_codes"), F.lit(0)) <= 0) & (F.coalesce(F.size("icd10_codes"), F.lit(0)) <= 0)
+    unnamed = (F.coalesce("first_name", F.lit("")) == "") & (F.coalesce("last_name", F.lit("")) == "")
+    warnings = F.filter(F.array(F.when(bare, "No medical codes (CPT or ICD-10) found"), F.when(unnamed, "No patient name found")), lambda x: x.isNotNull())
+    return records.withColumn("errors", errors).withColumn("warnings", warnings).withColumn("overall_valid", F.size("errors") == 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,7 +124,12 @@ def detect_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.names(billing_texts(spark, sf_dir))
 
 
-@query()
+ADDRESS_SCORE = f"least(1.0, 0.6 + {plus(any_of('upper(found)', C.STATES), 0.2)} + {plus('regexp_matches(found, $$[0-9]{5}$$)', 0.1)} + {plus(any_of('lower(found)', C.STREETS), 0.1)})"
+
+
+@query(f"""with {DOC_SQL}, doc2 as (select doc_id, text || chr(10) || 'Ship to ' || (doc_id % 900 + 1) || ' Elm Street, Salem, OR 97301' as text from doc),
+  h as (select doc_id, text, start, regexp_extract(substr(text, start + 1, 200), '{detect.TOWN}', 0) as found from {hits(detect.STREET, 'doc2')}), k as (select *, start + cast(length(found) as integer) as stop from h where found <> '')
+  select doc_id, 'address' as field_type, found as value, round(cast({ADDRESS_SCORE} as double), 4) as confidence, start, stop as "end", {around(30)} as context from k""")
 def detect_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over billing texts with an address line made from the customer."""
     texts = billing_texts(spark, sf_dir)
@@ -272,7 +278,7 @@ def code_detail_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.code_details(coded(spark, sf_dir), ["node"])
 
 
-@query(f"with {CODED_SQL}, e as (select node, unnest(case when len(cpt) = 0 then [1] else range(1, len(cpt) + 1) end) as i, cpt, icd from cod) select node, cpt[i] as cpt_code, icd[1] as diagnosis_code_1, icd[2] as diagnosis_code_2, icd[3] as diagnosis_code_3, icd[4] as diagnosis_code_4 from e")
+@query(f"with {CODED_SQL}, e as (select node, unnest(case when len(cpt) = 0 then [1] else range(1, len(cpt) + 1) end) as i, cpt, icd from cod)" + " select node, cpt[i] as cpt_code, icd[1] as diagnosis_code_1, icd[2] as diagnosis_code_2, icd[3] as diagnosis_code_3, icd[4] as diagnosis_code_4, " + ", ".join(f"'ICD-10 ' || icd[{k}] as diagnosis_desc_{k}" for k in range(1, 5)) + " from e")
 def diagnosis_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.with_four_diagnoses(coded(spark, sf_dir), ["node"])
 
@@ -349,7 +355,10 @@ def boundary_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.repeated_boundaries(billing_texts(spark, sf_dir))
 
 
-@query()
+NEAR_SQL = "(" + " + ".join(f"cast(regexp_matches({around(50)}, '(?i){p}') as integer)" for p in C.DEMOGRAPHIC) + ") >= 2"
+
+
+@query(f"with {DOC_SQL} " + " union all ".join(f"select doc_id, start, cast(null as integer) as \"end\", 'form_structure' as kind, 0.85::double as confidence, 1 as method, {k} as ord from {hits(p)} where {NEAR_SQL}" for k, p in enumerate(C.PATIENT_IDS)))
 def boundary_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.identifier_boundaries(billing_texts(spark, sf_dir))
 
@@ -363,17 +372,43 @@ def code_cluster_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.code_clusters(billing_texts(spark, sf_dir))
 
 
-@query()
+GAP_TEXT = " and nothing of note"
+LABELLED_TWICE = " union ".join(f"select doc_id, start from {hits(p, 'doc2')}" for p in segment.LABELLED)
+
+
+@query(f"""with {DOC_SQL}, doc2 as (select doc_id, text || chr(10) || repeat('{GAP_TEXT}', cast(10 + doc_id % 30 as integer)) || chr(10) || text as text from doc), c as ({LABELLED_TWICE}),
+  m as (select *, case when start - lag(start) over w > 300 then 1 else 0 end as fresh, count(*) over (partition by doc_id) as many from c window w as (partition by doc_id order by start)),
+  i as (select *, cast(sum(fresh) over (partition by doc_id order by start) as integer) as cluster from m where many >= 4), s as (select doc_id, cluster, min(start) as first, max(start) as last from i group by doc_id, cluster having count(*) >= 2),
+  g as (select *, lag(last) over (partition by doc_id order by first) as prior from s), t as (select g.*, lower(substr(text, prior + 1, first - prior)) as between_them, length(regexp_extract(substr(text, greatest(first - 100, 0) + 1, least(first, 100)), '(?s)^.*\n', 0)) as line from g join doc2 on doc2.doc_id = g.doc_id where first - prior > 200)
+  select doc_id, cast(case when line > 0 then greatest(first - 100, 0) + line else first end as integer) as start, cast(null as integer) as "end", 'text_block' as kind, round(cast(least(1.0, 0.7 + {plus(any_of('between_them', [w.lower() for w in C.BOUNDARY_KEYWORDS]), 0.2)} + {plus('first - prior > 500', 0.1)}) as double), 4) as confidence, 5 as method, cluster as ord from t""")
 def boundary_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.cluster_boundaries(billing_texts(spark, sf_dir))
+    """Over billing texts said twice, with idle words between."""
+    filler = F.repeat(F.lit(GAP_TEXT), (F.col("doc_id") % 30 + 10).cast("int"))
+    return segment.cluster_boundaries(billing_texts(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n"), filler, F.lit("\n"), "text")))
 
 
-@query()
+#: All boundaries of the billing texts (which have no gap between clusters), in the order of the detectors.
+BOUNDS_SQL = " union all ".join(f'select doc_id, start, method, ord, confidence, kind from ({ORACLES[n]})' for n in ("boundary_keyword", "boundary_identifiers", "boundary_repeated", "boundary_rules", "boundary_lines"))
+
+
+def folded_sql(near: str, source: str) -> str:
+    """doc_id, idx and b: the boundaries that a fold keeps, of which only the last kept can be in conflict."""
+    return f"""(select doc_id, unnest(kept) as b, unnest(range(len(kept))) as idx from (select doc_id, list_reduce(list([{{'start': start, 'method': method, 'ord': ord, 'confidence': confidence, 'kind': kind}}] order by start, method, ord, confidence, kind),
+      lambda acc, b: case when {near} then case when b[1].confidence > acc[-1].confidence then list_append(acc[:-2], b[1]) else acc end else list_concat(acc, b) end) as kept from ({source}) group by doc_id))"""
+
+
+SIFTED_SQL = f"select doc_id, cast(idx as integer) as idx, b.start as start, b.kind as kind, b.confidence as confidence from {folded_sql('b[1].start - acc[-1].start < 100', BOUNDS_SQL)} where idx < 9"
+
+
+@query(SIFTED_SQL)
 def boundary_sifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sifted(segment.boundaries(billing_texts(spark, sf_dir)))
 
 
-@query()
+@query(f"""with {DOC_SQL}, k as (select doc_id, list({{'at': start, 'c': confidence}} order by start) as bs from ({SIFTED_SQL}) group by doc_id),
+  s as (select doc.doc_id, text, case when bs is null then [{{'at': 0, 'c': 1.0::double}}] when bs[1].at > 0 then list_concat([{{'at': 0, 'c': 0.8::double}}], bs) else bs end as ss from doc left join k on k.doc_id = doc.doc_id),
+  e as (select doc_id, text, ss, unnest(range(1, len(ss) + 1)) as i from s), c as (select doc_id, ss[i].at as start, coalesce(ss[i + 1].at, length(text)) as stop, text, ss[i].c as confidence, len(ss) = 1 as alone, i from e),
+  t as (select doc_id, start, stop, substr(text, start + 1, stop - start) as text, confidence, alone, i from c) select doc_id, cast(row_number() over (partition by doc_id order by start, i) - 1 as integer) as seg_idx, cast(start as integer) as start, cast(stop as integer) as "end", text, confidence from t where length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 50 or (alone and confidence = 1.0)""")
 def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = billing_texts(spark, sf_dir)
     return segment.segments(texts, segment.sifted(segment.boundaries(texts)))
@@ -430,19 +465,30 @@ def superbill_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("cpt_codes", F.array_join("cpt_codes", ",")).withColumn("icd10_codes", F.array_join("icd10_codes", ","))
 
 
-@query()
+@query(f"""with {DOC_SQL}, d as ({DATE_SQL}), c as ({CPT_SQL}), i as ({ICD_SQL}),
+  dd as (select doc_id, arg_min(value, start) filter (regexp_matches(lower(context), 'birth|dob|born')) as birth, arg_min(value, start) filter (regexp_matches(lower(context), 'service|visit|appointment|exam')) as service, list(value order by start, value) as ds from d group by doc_id),
+  cc as (select doc_id, string_agg(value, ',' order by start, value) as codes from c group by doc_id), ii as (select doc_id, string_agg(value, ',' order by start, value) as codes from i group by doc_id)
+  select doc.doc_id, 'Unknown' as first_name, 'Patient' as last_name, cast(coalesce(birth, ds[1]) as date) as date_of_birth, cast(coalesce(service, ds[2]) as date) as date_of_service, coalesce(cc.codes, '') as cpt_codes, coalesce(ii.codes, '') as icd10_codes, 0.6::double as extraction_confidence
+  from doc left join dd on dd.doc_id = doc.doc_id left join cc on cc.doc_id = doc.doc_id left join ii on ii.doc_id = doc.doc_id where cc.codes is not null or ds is not null""")
 def fallback_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = billing_texts(spark, sf_dir)
     found = detect.procedures(texts).unionByName(detect.diagnoses(texts)).unionByName(detect.dates(texts, as_of()))
-    return extract.fallback_records(texts, found)
+    return _codes_joined(extract.fallback_records(texts, found))
 
 
-@query()
+def _codes_joined(records: DataFrame) -> DataFrame:
+    return records.withColumn("cpt_codes", F.array_join("cpt_codes", ",")).withColumn("icd10_codes", F.array_join("icd10_codes", ","))
+
+
+@query(f"""with {DOC_SQL}, x as (select doc_id, regexp_extract_all(text, '{extract.NAME_FIELD}', 1) as names, regexp_extract_all(text, '{extract.ANY_DATE}', 1) as ds, regexp_extract_all(text, '{extract.ICD_WHOLE}', 1) as icd from doc), e as (select *, unnest(names) as name, unnest(range(len(names))) as patient_index from x),
+  c as (select doc_id, string_agg(value, ',' order by start, value) as codes from ({CPT_SQL}) group by doc_id), m as (select doc_id, arg_min(value, (start, value)) as amount from ({MONEY_SQL}) group by doc_id), p as (select doc_id, count(*) as n from ({ID_SQL}) group by doc_id)
+  select e.doc_id, cast(patient_index as integer) as patient_index, string_split(name, ' ')[1] as first_name, case when len(string_split(trim(name), ' ')) >= 2 then array_to_string(string_split(trim(name), ' ')[2:], ' ') else 'Patient' end as last_name, cast(strptime(ds[1], '%m/%d/%Y') as date) as date_of_birth, cast(strptime(ds[2], '%m/%d/%Y') as date) as date_of_service,
+  coalesce(c.codes, '') as cpt_codes, array_to_string(icd, ',') as icd10_codes, cast(regexp_replace(amount, '[$,]', '', 'g') as decimal(14,2)) as total_charge, coalesce(p.n, 0) > 0 as phi_detected from e left join c on c.doc_id = e.doc_id left join m on m.doc_id = e.doc_id left join p on p.doc_id = e.doc_id""")
 def enriched_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = billing_texts(spark, sf_dir)
     found = detect.procedures(texts).unionByName(detect.diagnoses(texts)).unionByName(detect.amounts(texts)).unionByName(detect.identifiers(texts))
     bare = extract.records(texts).withColumn("cpt_codes", F.array().cast("array<string>")).withColumn("total_charge", F.lit(None).cast("decimal(14,2)"))
-    return extract.enriched(bare, found)
+    return _codes_joined(extract.enriched(bare, found))
 
 
 @query("select event_id as doc_id, true as ok, cast(json_extract_string(props, '$.k') as double) as k, 'a' || event_id as name, cast(event_id % 2 = 0 as boolean) as flag, array_to_string(['x', 'y'], '|') as tags from events")
@@ -715,3 +761,147 @@ def iou_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schema_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [F.col(c) for c in ("first_name", "last_name", "patient_id", "date_of_birth", "total_charge")]
     return patients(spark, sf_dir).select("node", F.round(scores.schema_coverage(fields, 5), 6).alias("coverage"))
+
+
+# --- composed operators ---------------------------------------------------------------------------------------------------------
+
+
+def _mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Billing texts, of which every seventh has only dates that the record extractor does not read."""
+    plain = F.concat(F.lit("birth on 19"), (50 + F.col("doc_id") % 40).cast("string"), F.lit("-03-04"), F.repeat(F.lit(" x"), 60), F.lit(" visit on 2020-01-05"))
+    return billing_texts(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 7 == 0, plain).otherwise(F.col("text")))
+
+
+RECORD_SQL = f"""x as (select doc_id, regexp_extract_all(text, '{extract.NAME_FIELD}', 1) as names, regexp_extract_all(text, '{extract.ANY_DATE}', 1) as ds, regexp_extract_all(text, '{extract.FIVE_DIGITS}', 1) as cpt, regexp_extract_all(text, '{extract.ICD_WHOLE}', 1) as icd,
+  regexp_extract_all(text, '{extract.AMOUNT.replace(chr(92) + '$', '[$]')}', 1) as am from doc where doc_id % 7 <> 0)"""
+
+
+@query(f"""with {DOC_SQL}, {RECORD_SQL}, f as (select doc_id, bool_or(field_type in ('ssn', 'phone', 'email', 'name')) as phi from ({ID_SQL} union all {NAME_SQL}) group by doc_id)
+  select x.doc_id, string_split(names[1], ' ')[1] as first_name, case when len(string_split(names[1], ' ')) >= 2 then array_to_string(string_split(names[1], ' ')[2:], ' ') else 'Patient' end as last_name, strftime(strptime(ds[1], '%m/%d/%Y'), '%Y-%m-%d') as date_of_birth, strftime(strptime(ds[2], '%m/%d/%Y'), '%Y-%m-%d') as date_of_service,
+  strptime(ds[1], '%m/%d/%Y') <= strptime(ds[2], '%m/%d/%Y') and strptime(ds[1], '%m/%d/%Y') <= date '{AS_OF}' and strptime(ds[2], '%m/%d/%Y') <= date '{AS_OF}' as consistent, array_to_string(cpt, ',') as cpt_codes, array_to_string(icd, ',') as icd10_codes, cast(replace(am[1], ',', '') as decimal(14,2)) as total_charge, coalesce(phi, false) as phi_detected, 0.8::double as extraction_confidence, 'primary' as source from x left join f on f.doc_id = x.doc_id
+  union all select doc_id, 'Unknown', 'Patient', '19' || (50 + doc_id % 40) || '-03-04', '2020-01-05', true, '', '', null, false, 0.6::double, 'fallback' from doc where doc_id % 7 = 0""")
+def extracted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _mixed_texts(spark, sf_dir)
+    found = reduce(DataFrame.unionByName, [detect.procedures(texts), detect.diagnoses(texts), detect.dates(texts, as_of()), detect.amounts(texts), detect.identifiers(texts), detect.names(texts)])
+    got = extract.extracted(texts, found, as_of())
+    return got.withColumn("cpt_codes", F.array_join("cpt_codes", ",")).withColumn("icd10_codes", F.array_join("icd10_codes", ","))
+
+
+@query(f"""with {DOC_SQL}, h as (select * from {hits(extract.LISTED_DATES[0])}), d as (select doc_id, strftime(try_strptime(value, '%m/%d/%Y'), '%Y-%m-%d') as iso, min(start) as spot from h where try_strptime(value, '%m/%d/%Y') is not null group by 1, 2)
+  select doc.doc_id, coalesce(string_agg(iso, ',' order by spot), '') as dates from doc left join d on d.doc_id = doc.doc_id group by doc.doc_id""")
+def date_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.listed_dates(billing_texts(spark, sf_dir), as_of()).withColumn("dates", F.array_join("dates", ","))
+
+
+@query("""select c_custkey as doc_id, c_name as first_name, '' as last_name, 'P-' || c_custkey as patient_id, case when c_custkey % 4 = 0 then null else 'Street ' || c_custkey || ', Town' || case when c_custkey % 3 = 0 then ', OR 97301' else ',  97301' end end as address, c_mktsegment as insurance_provider,
+  case when c_custkey % 5 = 0 then 'S' || c_custkey else 'N' || c_custkey end as insurance_id, 0.8::double as extraction_confidence from customer""")
+def structured_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "customer")
+    key, some = F.col("c_custkey"), F.col("c_custkey") % 4 != 0
+    state = F.when(key % 3 == 0, "OR")
+    address = F.struct(*(F.when(some, x).alias(n) for n, x in (("street", F.concat(F.lit("Street "), key.cast("string"))), ("city", F.lit("Town")), ("state", state), ("zip_code", F.lit("97301")))))
+    person = F.struct(F.col("c_name").alias("first_name"), F.lit(None).cast("string").alias("last_name"), F.concat(F.lit("P-"), key.cast("string")).alias("patient_id"), address.alias("address"))
+    insurance = F.struct(F.col("c_mktsegment").alias("insurance_company"), F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("N"), key.cast("string"))).alias("policy_number"), F.concat(F.lit("S"), key.cast("string")).alias("subscriber_id"))
+    return extract.structured_patient(c.select(key.alias("doc_id"), person.alias("patient_info"), insurance.alias("insurance_info")))
+
+
+CPT_PROBLEM = "case when not regexp_full_match(code, '[0-9]{5}') then 'Invalid CPT code format (must be 5 digits)' when cast(code as integer) < 100 then 'CPT code out of valid range' when code not in (" + ", ".join(f"'{k}'" for k in C.CPT_CODES) + f") and {CATEGORY_SQL} is null then 'Unknown CPT code' end"
+ICD_PROBLEM = "case when code not in (" + ", ".join(f"'{k}'" for k in C.ICD_CODES) + f") and {CHAPTER_SQL} is null then 'Unknown ICD-10 code format' end"
+
+
+@query(f"""with {PATIENT_SQL}, p as (select *, case when node % 9 = 0 then [] else cpt_codes end as cpt, case when node % 9 = 0 then [] else icd10_codes end as icd, case when date_of_birth > date '{AS_OF}' then 'Date of birth cannot be in the future' when year(date_of_birth) < 1900 then 'Date of birth too far in the past' end as bp,
+  case when date_of_service < date '{AS_OF}' - interval 120 month then 'Service date too far in the past' when date_of_service < date_of_birth then 'Service date cannot be before date of birth' end as sp from pat),
+  e as (select node, cpt, icd, list_concat(list_filter(list_transform(cpt, lambda code: 'Invalid CPT code: ' || code || ' - ' || {CPT_PROBLEM}), lambda x: x is not null), list_concat(list_filter(list_transform(icd, lambda code: 'Invalid ICD-10 code: ' || code || ' - ' || {ICD_PROBLEM}), lambda x: x is not null),
+  list_filter(['Date of birth validation failed: ' || bp, 'Service date validation failed: ' || sp], lambda x: x is not null))) as errors from p)
+  select node, array_to_string(errors, '; ') as errors, case when len(cpt) = 0 and len(icd) = 0 then 'No medical codes (CPT or ICD-10) found' else '' end as warnings, len(errors) = 0 as overall_valid from e""")
+def validation_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = patients(spark, sf_dir)
+    p = reduce(lambda df, c: df.withColumn(c, F.when(F.col("node") % 9 == 0, F.slice(c, 1, 0)).otherwise(F.col(c))), ["cpt_codes", "icd10_codes"], p)
+    return validate.validation_report(p, as_of()).select("node", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"), "overall_valid")
+
+
+OPT_PAIRS = f"""c as ({CROSS_SQL}), j as ({CODES_SQL.replace('similarity > 0.01', 'similarity > 0.02')}), extra as (select * from j where not exists (select 1 from c where c.doc_id = j.doc_id and c.page_a = j.page_a and c.a = j.a and c.page_b = j.page_b and c.b = j.b)),
+  link as (select doc_id, page_a * 65536 + a as a, page_b * 65536 + b as b from (select * from c union all select * from extra) where doc_id in (select doc_id from extra)), both_ways as (select doc_id, a, b from link union select doc_id, b, a from link),
+  reach as (select distinct doc_id, a as node, a as seen from both_ways union select r.doc_id, l.b, r.seen from reach r join both_ways l on l.doc_id = r.doc_id and l.a = r.node), grp as (select doc_id, node, min(seen) as g from reach group by doc_id, node)"""
+
+
+@query(f"""with recursive {PATIENT_SQL}, {OPT_PAIRS}, p as (select pat.* exclude (node), pat.page_no * 65536 + pat.idx as node from pat), m as (select p.*, coalesce(grp.g, p.node) as g from p left join grp on grp.doc_id = p.doc_id and grp.node = p.node)
+  select doc_id, cast(arg_min(node, (-confidence, node)) // 65536 as integer) as page_no, cast(arg_min(node, (-confidence, node)) % 65536 as integer) as idx, first(first_name order by confidence desc, node) filter (first_name is not null) as first_name, first(last_name order by confidence desc, node) as last_name,
+  array_to_string(list_sort(list_distinct(flatten(list(cpt_codes)))), ',') as cpt_codes, array_to_string(list_sort(list_distinct(list(page_no))), ',') as pages, round(max(confidence), 4) as confidence, count(distinct page_no) > 1 as spans_multiple_pages from m group by doc_id, g""")
+def optimised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resolve.optimised(patients(spark, sf_dir), least_codes=0.02)
+    pages = F.array_join(F.transform("page_numbers", lambda x: x.cast("string")), ",").alias("pages")
+    return got.select("doc_id", "page_no", "idx", "first_name", "last_name", F.array_join(F.array_distinct(F.array_sort("cpt_codes")), ",").alias("cpt_codes"), pages, F.round("confidence", 4).alias("confidence"), "spans_multiple_pages")
+
+
+def _values(text: str) -> str:
+    return "list_filter(list_transform(" + "list_concat(" * 3 + f"regexp_extract_all({text}, '{segment.PERSON_VALUES[0]}', 1)" + "".join(f", regexp_extract_all({text}, '{p}', 1))" for p in segment.PERSON_VALUES[1:]) + ", lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"""with {DOC_SQL}, h as (select doc_id, start, substr(text, greatest(start - 200, 0) + 1, least(start, 200)) as b, substr(text, stop + 1, 200) as a from {hits('-{40}')}), v as (select doc_id, start, {_values('b')} as bs, {_values('a')} as vs, a from h)
+  select doc_id, start, len(list_filter(bs, lambda x: len(list_filter(vs, lambda y: 1.0 - levenshtein(x, y) / greatest(length(x), length(y))::double < 0.7)) > 0)) > 0 or """ + " or ".join(f"regexp_matches(a, '{p}')" for p in segment.NEW_PERSON) + " as other_person from v")
+def context_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.found(billing_texts(spark, sf_dir), "-{40}")
+    text, start = F.col("text"), F.col("start")
+    before = F.substring(text, F.greatest(start - 200, F.lit(0)) + 1, F.least(start, F.lit(200)))
+    return found.select("doc_id", "start", segment.different_people(before, F.substring(text, F.col("end") + 1, F.lit(200))).alias("other_person"))
+
+
+@query(f"""with {DOC_SQL}, k as (select f.doc_id, b, text from {folded_sql('b[1].start - acc[-1].start <= 100', BOUNDS_SQL)} f join doc on doc.doc_id = f.doc_id),
+  w as (select doc_id, b.start as start, b.kind as kind, b.confidence as confidence from k where not (regexp_matches(substr(text, greatest(b.start - 50, 0) + 1, least(b.start, 50)), ':\\s*$') and regexp_matches(substr(text, b.start + 1, 50), '^\\s*[A-Za-z0-9]'))),
+  t as (select *, row_number() over (partition by doc_id order by confidence desc, start) as rank from w) select doc_id, cast(row_number() over (partition by doc_id order by start) - 1 as integer) as idx, start, kind, confidence from t where rank <= 10""")
+def boundary_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = billing_texts(spark, sf_dir)
+    return segment.sifted_again(segment.boundaries(texts), texts)
+
+
+@query(f"with {RUN_SQL} select model as model_name, file as file_name, seconds as extraction_time, confidence, patients as patient_count, text_length, cpt_codes as cpt_codes_extracted, completeness as data_completeness_score, ts as timestamp from run")
+def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.dashboard_rows(runs(spark, sf_dir))
+
+
+@query(f"with {PATIENT_SQL}, d as (select distinct doc_id from pat union select -1), r as (select doc_id, avg(case when doc_id % 6 = 0 then null else confidence end) as mean from pat group by doc_id) select d.doc_id, round(case when r.doc_id is null then 0.0 else coalesce(mean, 0.5) end, 4) as confidence from d left join r on r.doc_id = d.doc_id")
+def document_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = patients(spark, sf_dir).withColumn("confidence", F.when(F.col("doc_id") % 6 != 0, F.col("confidence")))
+    documents = p.select("doc_id").distinct().union(spark.range(1).selectExpr("cast(-1 as bigint)"))
+    return report.document_confidence(documents, p).withColumn("confidence", F.round("confidence", 4))
+
+
+@query(f"with {PATIENT_SQL} select count(*) as patients, cast(sum(len(cpt_codes)) as bigint) as total_cpt_codes, cast(sum(len(icd10_codes)) as bigint) as total_icd10_codes, cast(sum(total_charge) as double) as total_charges, count(*) filter (node % 3 = 0) as multi_page_patients from pat")
+def export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = F.when(F.col("node") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return report.export_counts(patients(spark, sf_dir).withColumn("page_numbers", pages)).withColumn("total_charges", F.col("total_charges").cast("double"))
+
+
+@query(f"with {PATIENT_SQL} select doc_id, page_no, string_agg(cast(node as varchar), ',' order by idx, node) as nodes from pat group by all")
+def patients_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.patients_by_page(patients(spark, sf_dir)).withColumn("nodes", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ","))
+
+
+@query(f"with {READING_SQL} select image_id, arg_min(text, (-confidence, ord)) as text, round(max(confidence), 4) as confidence, 'weighted_ensemble' as model from reading group by image_id")
+def ensemble_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble.combined(readings(spark, sf_dir)).withColumn("confidence", F.round("confidence", 4))
+
+
+@query(f"with {PATIENT_SQL} select doc_id, cast(row_number() over (partition by doc_id order by page_no, idx, node) - 1 as integer) as patient_index, node, last_name from pat where doc_id % 4 <> 0")
+def exported_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("page_no", "idx", "node", "last_name")))
+    results = patients(spark, sf_dir).groupBy("doc_id").agg(F.transform(listed, lambda x: F.struct(x["node"].alias("node"), x["last_name"].alias("last_name"))).alias("patients"))
+    return export.patients_only(results.withColumn("success", F.col("doc_id") % 4 != 0))
+
+
+@query(f"with {PATIENT_SQL} select node, round((cast(coalesce(first_name, '') <> '' as integer) + 3 + cast(patient_id is not null as integer) + cast(len(cpt_codes) > 0 as integer) + cast(len(icd10_codes) > 0 as integer) + case when node % 2 = 0 then 1 + cast(node % 4 = 0 as integer) else 0 end) / (7 + case when node % 2 = 0 then 2 else 0 end)::double, 4) as share from pat")
+def filled_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = F.struct(F.col("date_of_service").alias("service_date"), F.when(F.col("node") % 4 == 0, "office").alias("place"))
+    p = patients(spark, sf_dir).withColumn("service_info", F.when(F.col("node") % 2 == 0, inner))
+    share = report.filled_share(["first_name", "last_name", "date_of_birth", "gender", "patient_id"], ["cpt_codes", "icd10_codes"], ["service_info"], p.schema)
+    return p.select("node", F.round(share, 4).alias("share"))
+
+
+@query("select o_orderkey, case when o_orderkey % 6 = 5 then 'type not allowed' when o_orderkey % 150 > 100 then 'too many pages' when greatest(o_orderkey % 5000, 500) > 4096 then 'image too large' when o_totalprice > 10 * (o_orderkey % 5000) * 500 then 'more bytes than pixels allow' end as problem from orders")
+def upload_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from billweave.sources.files import upload_problem
+
+    o, key = read_table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    mime = F.when(key % 6 == 5, "text/html").otherwise("image/png")
+    return o.select("o_orderkey", upload_problem(mime, key % 150, key % 5000, F.lit(500), F.col("o_totalprice")).alias("problem"))

@@ -31,6 +31,12 @@ def admission_problem(length: Column, kind: Column, content: Column) -> Column:
     return F.when(length > MOST_BYTES, "file too large").when(length < LEAST_BYTES, "file too small").when(kind.isNull(), "unsupported type").when(~known | ((kind == "pdf") != is_pdf), "content does not match type")
 
 
+def upload_problem(mime: Column, pages: Column, width: Column, height: Column, length: Column, most_pages: int = 100, most_side: int = 4096) -> Column:
+    """Why an uploaded file is refused by its type, pages or pixels, or null; unknown pages and sizes are not judged."""
+    allowed = mime.isin("application/pdf", "image/jpeg", "image/png", "image/tiff", "image/bmp")
+    return F.when(~F.coalesce(allowed, F.lit(False)), "type not allowed").when(pages > most_pages, "too many pages").when(F.greatest(width, height) > most_side, "image too large").when(length > 10 * width * height, "more bytes than pixels allow")
+
+
 def admitted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted files, and refused ones with the problem."""
     checked = files.withColumn("problem", admission_problem(F.col("length"), F.col("kind"), F.col("content")))

@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("privacy", privacy), ("tokens", tokens)]
-#: Training and iterative stages are not expressible in SQL; the tests hold run() against brute force.
+#: Training and iterative stages are not expressible in SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 

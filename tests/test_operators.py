@@ -162,3 +162,53 @@ def test_boundaries_sift(spark):
     rows = [(1, 50, None, "k", 0.7, 0, 0), (1, 100, None, "k", 0.9, 0, 1), (1, 200, None, "k", 0.8, 0, 2), (1, 250, None, "k", 0.8, 0, 3)]
     got = sorted((x.start, x.confidence) for x in segment.sifted(spark.createDataFrame(rows, kind)).collect())
     assert got == [(100, 0.9), (200, 0.8)]
+
+
+def test_validation_report(spark):
+    from billweave.operators.validate import validation_report
+
+    rows = [(1, "Ann", None, "2030-01-01", "2024-01-01", ["99213", "00001", "x"], ["J45.909", "bad"]), (2, None, "", None, None, [], []), (3, "Bo", "Li", "1980-05-05", "2024-02-02", None, None)]
+    schema = "k int, first_name string, last_name string, date_of_birth string, date_of_service string, cpt_codes array<string>, icd10_codes array<string>"
+    df = spark.createDataFrame(rows, schema).withColumns({c: F.col(c).cast("date") for c in ("date_of_birth", "date_of_service")})
+    got = {r.k: r for r in validation_report(df, F.lit("2024-06-30").cast("date")).collect()}
+    assert got[1].errors == ["Invalid CPT code: 00001 - CPT code out of valid range", "Invalid CPT code: x - Invalid CPT code format (must be 5 digits)", "Invalid ICD-10 code: bad - Invalid ICD-10 code format", "Date of birth validation failed: Date of birth cannot be in the future", "Service date validation failed: Service date cannot be before date of birth"]
+    assert got[2].warnings == ["No medical codes (CPT or ICD-10) found", "No patient name found"] and got[2].overall_valid
+    assert got[3].warnings == ["No medical codes (CPT or ICD-10) found"] and not got[1].overall_valid
+
+
+def test_extraction_falls_back(spark):
+    from billweave.operators import detect, extract
+
+    as_of = F.lit("2024-06-30").cast("date")
+    texts = spark.createDataFrame([(1, "PATIENT NAME: Ann Lee\nDOB: 01/02/1980\n99213 visit $10.00"), (2, "seen on 2024-02-03"), (3, "nothing"), (4, None)], "doc_id long, text string")
+    found = detect.dates(texts, as_of).unionByName(detect.procedures(texts)).unionByName(detect.names(texts))
+    got = {r.doc_id: r for r in extract.extracted(texts, found, as_of).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].first_name, got[1].last_name, got[1].date_of_birth, got[1].cpt_codes, got[1].source, got[1].phi_detected) == ("Ann", "Lee", "1980-01-02", ["99213"], "primary", True)
+    assert (got[2].first_name, got[2].date_of_birth, got[2].source, got[2].consistent) == ("Unknown", "2024-02-03", "fallback", True)
+
+
+def test_different_people(spark):
+    from billweave.operators.segment import different_people
+
+    rows = [("Name: Ann Lee", "Name: Ann Lee"), ("Name: Ann Lee", "Name: Robert Moss"), ("x", "New  Patient"), ("MRN: 123456", "MRN: 123457"), (None, None), ("", "")]
+    got = spark.createDataFrame(rows, "a string, b string").select(different_people(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in got] == [False, True, True, False, False, False]
+
+
+def test_dates_are_listed_once_in_order(spark):
+    from billweave.operators.extract import listed_dates
+
+    texts = spark.createDataFrame([(1, "2020-03-04 then 1/2/2021, 01/02/2021 and 31/12/2019"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r.dates for r in listed_dates(texts, F.lit("2024-06-30").cast("date")).collect()}
+    assert got == {1: ["2021-01-02", "2020-03-04"], 2: [], 3: []}
+
+
+def test_optimised_needs_more_by_codes(spark):
+    from billweave.operators.resolve import optimised
+
+    schema = "doc_id long, page_no int, idx int, first_name string, last_name string, date_of_birth date, patient_id string, cpt_codes array<string>, icd10_codes array<string>, confidence double"
+    codes = (["99213", "99214"], ["J45"])
+    rows = [(1, 0, 0, "Ann", "Lee", None, None, *codes, 0.9), (1, 1, 0, "Bob", "Moss", None, "P", *codes, 0.5), (2, 0, 0, "Ann", "Lee", None, None, ["1"], [], 0.9), (2, 1, 0, "Ann", "Lee", None, None, ["2"], [], 0.8)]
+    got = sorted((r.doc_id, r.page_no, r.patient_id, r.page_numbers, r.spans_multiple_pages) for r in optimised(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(1, 0, "P", [0, 1], True), (2, 0, None, [0], False), (2, 1, None, [1], False)]
