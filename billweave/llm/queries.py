@@ -60,10 +60,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from billweave.llm.suffix_dedup import without_repeats
+    from billweave.llm.suffix_dedup import shared_passages, without_repeats
 
-    found = without_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents")
+    removed = (F.col("n_bytes") - F.length("kept")).cast("long")
+    found = without_repeats(docs).select("doc_id", "hash", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    shared = shared_passages(docs).alias("s")
+    both = found.alias("f").join(shared, F.expr("f.hash = s.hash and f.doc_id <=> s.doc_id"), "left")
+    return both.select("f.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeat"), F.col("s.hash").isNotNull().alias("shares_passage"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

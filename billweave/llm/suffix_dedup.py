@@ -7,6 +7,9 @@ an anchor meet in a shard, and an induced suffix sort of the shard (billweave.ll
 share `length` bytes with another. A shard is written to the task's own temporary folder and may be far larger than
 memory; tables between steps are in the shared folder.
 
+`shared_passages` tells the rows that share a shorter passage with another row, which is too short to be removed: from
+the same pieces, by the bytes beside their anchors, without sorting.
+
 Texts are UTF-8 bytes, null counts as empty, and matches never cross rows. Windows are judged on the input, repeated rows
 included, so each of two equal long rows is removed whole. Texts under `length` bytes have no window. Other columns,
 whatever their names, are kept out of the way; an empty table gives an empty result.
@@ -29,6 +32,8 @@ from billweave.llm.induced_sort import repeated_starts
 
 LENGTH = 400
 GRAM = 32
+#: Bytes of a passage (some fifty words) that rows share; see shared_passages().
+PASSAGE = 250
 #: A longer text is cut into blocks that overlap by a window less one byte.
 BLOCK_BYTES = 4 << 20
 MAP_LOG2 = 24
@@ -115,6 +120,16 @@ def described(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "start", "end", "anchor", "digest", "left", "right"])
 
 
+def sides(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The names of an anchor with the bytes on one side of it, of all pieces of a text: each once a text and slice."""
+    for part in described(batches, length):
+        anchor, left, right = (part.column(c).to_numpy().view(np.uint64) for c in ("anchor", "left", "right"))
+        names = np.concatenate([mix(anchor * np.uint64(3) + left), mix(anchor * np.uint64(5) + right)]).view(np.int64)
+        there = np.concatenate([left != 0, right != 0])
+        rows = pa.table({"doc_id": pa.concat_arrays([part.column("doc_id")] * 2), "hash": pa.concat_arrays([part.column("hash")] * 2), "side": pa.array(names)}).filter(pa.array(there))
+        yield from rows.group_by(["doc_id", "hash", "side"]).aggregate([]).select(["doc_id", "hash", "side"]).to_batches()
+
+
 def texts_in(batches: Iterator[pa.RecordBatch], wanted: Bits, inside: bool) -> Iterator[pa.RecordBatch]:
     """doc_id, hash and text of the rows whose hash may be wanted (inside), or of all others."""
     for batch in slices(batches):
@@ -213,6 +228,19 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return saved(whole.union(parts), "removals")
 
 
+def shared_passages(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
+    """doc_id and hash (of the text) of the rows that share a passage with a row of another id or text.
+
+    All rows that share `length` bytes are among them, and none that shares less than an anchor with one side of it: two
+    windows that are equal have one anchor and all bytes on its left or on its right, GRAM + (length - GRAM) // 2 in all.
+    """
+    ship(docs.sparkSession)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = saved(source.mapInArrow(lambda b: sides(b, length), "doc_id long, hash long, side long").withColumn("row", F.xxhash64("doc_id", "hash")), "sides")
+    both = found.groupBy("side").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo != hi").select("side")
+    return saved(found.join(both, "side", "left_semi").select("doc_id", "hash").distinct(), "passages")
+
+
 def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with their removed ranges merged: spans, and the bytes that stay."""
     for batch in slices(batches):
@@ -232,20 +260,21 @@ def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stay.append(raw[at:])
             for o, v in zip(out, (len(raw), spans, b"".join(stay))):
                 o.append(v)
-        columns = [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.list_(pa.int64()))), pa.array(out[2], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "spans", "kept"])
+        columns = [batch.column("doc_id"), batch.column("hash"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.list_(pa.int64()))), pa.array(out[2], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "n_bytes", "spans", "kept"])
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, spans (removed runs, array of [from, to)) and kept (binary: the other bytes) of every row."""
+    """doc_id, hash (of the text), n_bytes, spans (removed runs, array of [from, to)) and kept (binary: the other bytes) of
+    every row."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = removals(docs, length)
     held = spark.sparkContext.broadcast(bits_of(gone.select("hash").distinct(), "hash", MAP_LOG2))
     ranges = gone.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))  # of one text
     kind = "doc_id long, hash long, text binary"
-    touched = source.mapInArrow(lambda b: texts_in(b, held.value, True), kind).alias("t").join(ranges.alias("r"), F.expr("t.hash = r.hash and t.doc_id <=> r.doc_id"), "left").select("t.doc_id", "t.text", "r.ranges")
+    touched = source.mapInArrow(lambda b: texts_in(b, held.value, True), kind).alias("t").join(ranges.alias("r"), F.expr("t.hash = r.hash and t.doc_id <=> r.doc_id"), "left").select("t.doc_id", "t.hash", "t.text", "r.ranges")
     others = source.mapInArrow(lambda b: texts_in(b, held.value, False), kind)
-    schema = "doc_id long, n_bytes long, spans array<array<long>>, kept binary"
-    plain = others.select("doc_id", F.length("text").cast("long").alias("n_bytes"), F.array().cast("array<array<long>>").alias("spans"), F.col("text").alias("kept"))
+    schema = "doc_id long, hash long, n_bytes long, spans array<array<long>>, kept binary"
+    plain = others.select("doc_id", "hash", F.length("text").cast("long").alias("n_bytes"), F.array().cast("array<array<long>>").alias("spans"), F.col("text").alias("kept"))
     return touched.mapInArrow(kept, schema).union(plain)

@@ -360,6 +360,31 @@ def test_removal_of_repeats(docs, empty, spark):
     assert without_repeats(empty).count() == 0
 
 
+def test_shared_passages(docs, empty, spark):
+    """All rows that share 90 bytes with another are found, and none that shares under 61 (32 and a side of 29)."""
+    from billweave.llm.suffix_dedup import shared_passages
+
+    rng = random.Random(2)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    common, short = letters(90), letters(55)
+    rows = [(k, letters(rng.randint(0, 300)) + common + letters(rng.randint(0, 300))) for k in range(6)]
+    rows += [(k, letters(200) + short + letters(200)) for k in range(10, 16)] + [(20, letters(200)), (21, rows[0][1][:150]), (22, None), (23, "ab " * 100), (23, "ab " * 100), (24, letters(120) * 3)]
+    table = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, hash string").repartition(3)
+    raw = [(k, (t or "").encode()) for k, t in rows]
+    share = {n: collections.defaultdict(set) for n in (61, 90)}
+    for k, b in raw:
+        for n, seen in share.items():
+            for i in range(len(b) - n + 1):
+                seen[b[i : i + n]].add((k, b))
+    want = {n: {k for v in seen.values() if len(v) > 1 for k, _ in v} for n, seen in share.items()}
+    got = {r.doc_id for r in shared_passages(table, 90).collect()}
+    assert want[90] <= got <= want[61] and want[90] >= set(range(6)) and not got & set(range(10, 16))
+    assert shared_passages(empty).count() == 0
+
+
 def test_induced_sorting(monkeypatch):
     from billweave.llm import induced_sort
 
