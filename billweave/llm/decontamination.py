@@ -114,7 +114,8 @@ def near_matches(index: DataFrame, terms: DataFrame, size: int = 13, distance: i
     """doc, item: the rarest terms of a window stand in a document, each at most `distance` words from its place."""
     rare = rare_places(terms, index, size)
     met = index.where("term > 0").join(small(rare), "term").select("doc", "item", "place", "need", (F.col("pos") - F.col("place")).alias("shift"))
-    band = F.explode(F.array(F.expr(f"shift div {distance + 1}"), F.expr(f"shift div {distance + 1} + 1")))
+    first = F.floor(F.col("shift") / (distance + 1))  # also before the text's start, where shifts are negative
+    band = F.explode(F.array(first, first + 1))
     return met.withColumn("band", band).groupBy("doc", "item", "band").agg(F.count_distinct("place").alias("met"), F.min("need").alias("need")).where("met >= need").select("doc", "item").distinct()
 
 
