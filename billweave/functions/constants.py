@@ -37,6 +37,11 @@ LINE_INDICATORS = ["patient", "pt", "name", "dob", "account"]
 LINE_FIELDS = r"(?i)(name.*:|dob.*:|patient.*:|account.*:|id.*:)"
 REPEATED_FIELDS = [r"(?i)Name:\s*[A-Za-z\s]+", r"(?i)DOB:\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"(?i)Patient\s+ID:\s*\w+", r"(?i)Account\s*#:\s*\w+", r"(?i)Service\s+Date:\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"]
 DEMOGRAPHIC = [r"\bDOB\b", r"\bBIRTH\b", r"\bAGE\b", r"\bSEX\b", r"\bGENDER\b", r"\bADDRESS\b", r"\bPHONE\b", r"\bEMAIL\b", r"\bINSURANCE\b", r"\bPATIENT\s+ID\b", r"\bMEDICAL\s+RECORD\b", r"\bMRN\b", r"\bACCOUNT\s+NUMBER\b", r"\bSSN\b", r"\bSOCIAL\s+SECURITY\b", r"\bDATE\s+OF\s+SERVICE\b", r"\bSERVICE\s+DATE\b", r"\bDOS\b"]
+#: In the second pattern a word of one letter ends the names; it is said by looking around, since Java repeats groups by recursion.
+PATIENT_NAMES = [r"(?i)(?:PATIENT|PT|NAME)[:.\s]+((?:[A-Z][a-z]+\s+){1,2}[A-Z][a-z]+)", r"(?i)(?:LAST|FIRST)[:.\s]+([A-Z]{2}(?:(?!(?<![A-Z])[A-Z](?![A-Z]))[A-Z\s])*)"]
+FORM_HEADERS = [r"(?i)PATIENT\s*INFORMATION", r"(?i)CLAIM\s*INFORMATION", r"(?i)INSURANCE\s*INFORMATION", r"(?i)ENCOUNTER\s*INFORMATION", r"(?i)VISIT\s*DETAILS"]
+PERSON_FIELDS = [r"(?i)Name:\s*[A-Za-z\s.,'-]+", r"(?i)DOB:\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"(?i)Sex:\s*[MF]", r"(?i)Gender:\s*[MF]", r"(?i)Address:\s*[A-Za-z0-9\s.,'-]+", r"(?i)Phone:\s*[\d()-]+", r"(?i)MRN:\s*\w+", r"(?i)Account\s*#:\s*\w+", r"(?i)SSN:\s*[\dX-]+"]
+BROKEN_PAGE = r"(?i)---\s*PAGE\s*BREAK\s*---"
 PATIENT_IDS = [r"(?i)(?:MRN|ID)[:.\s]*([A-Za-z0-9-]+)", r"(?i)(?:PATIENT|PT)[\s#]+([A-Za-z0-9-]+)", r"(?i)ACCOUNT[\s#:]+([A-Za-z0-9-]+)"]
 SEPARATORS = [r"-{10,}", r"={10,}", r"_{10,}", r"\*{10,}"]
 PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"

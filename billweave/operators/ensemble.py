@@ -65,9 +65,9 @@ def best_reading(results: DataFrame, by: str = "confidence") -> DataFrame:
 
 
 def combined(results: DataFrame) -> DataFrame:
-    """The most confident reading of each image under the ensemble's own name; the first on a tie."""
+    """The most confident reading of each image under the name of the combination; the first on a tie."""
     order = F.struct(-F.col("confidence"), F.col("ord"))
-    return results.groupBy("image_id").agg(F.min_by("text", order).alias("text"), F.max("confidence").alias("confidence")).withColumn("model", F.lit("weighted_ensemble"))
+    return results.groupBy("image_id").agg(F.min_by("text", order).alias("text"), F.max("confidence").alias("confidence")).withColumn("model", F.lit("weighted_combination"))
 
 
 def with_minimum(results: DataFrame, least: int = 2) -> DataFrame:

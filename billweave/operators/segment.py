@@ -18,9 +18,11 @@ from billweave.operators.detect import found_any
 BOUNDARY = ["doc_id", "start", "end", "kind", "confidence", "method", "ord"]
 # The patterns of labelled codes.
 LABELLED = [
-    r"(?i)(?:CPT|PROCEDURE)[\s#:]*(\d{5})", r"(?i)(?:CODE|PROC)[\s#:]*(\d{5})", r"\b(\d{5})\s*-\s*[A-Za-z]",
-    r"(?i)(?:ICD|DIAGNOSIS)[\s#:-]*([A-Z]\d{2}(?:\.[A-Z0-9]{1,3})?)", r"(?i)(?:DX|DIAG)[\s#:]*([A-Z]\d{2}(?:\.[A-Z0-9]{1,3})?)", r"\b([A-Z]\d{2}(?:\.[A-Z0-9]{1,3})?)\s*-\s*[A-Za-z]",
+    r"(?i)(?:CPT|PROCEDURE)[\s#:]*(\d{5})", r"(?i)(?:CODE|PROC)[\s#:]*(\d{5})", r"(?i)\b(\d{5})\s*[-–]\s*[A-Za-z]",
+    r"(?i)(?:ICD|DIAGNOSIS)[\s#:-]*([A-Z]\d{2}(?:\.[A-Z0-9]{1,3})?)", r"(?i)(?:DX|DIAG)[\s#:]*([A-Z]\d{2}(?:\.[A-Z0-9]{1,3})?)", r"(?i)\b([A-Z]\d{2}(?:\.[A-Z0-9]{1,3})?)\s*[-–]\s*[A-Za-z]",
 ]
+# Codes that count where one of the words follows on their line.
+FOLLOWED = [(r"(?i)\b(\d{5})\b", "CPT|PROCEDURE|BILLING"), (r"(?i)\b([A-Z]\d{2}(?:\.[A-Z0-9]{1,3})?)\b", "ICD|DIAGNOSIS")]
 
 
 def _boundaries(hits: DataFrame, kind: str, confidence: Column, method: int, end: Column | None = None, order: Column | None = None) -> DataFrame:
@@ -43,8 +45,10 @@ def keyword_boundaries(texts: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def identifier_boundaries(texts: DataFrame) -> DataFrame:
+    """Labelled identifiers, and a little less sure labelled names, among other labels of a person."""
     gate = near_demographics(F.col("text"), F.col("start"), F.col("end"))
-    return _boundaries(found_any(texts, C.PATIENT_IDS).where(gate), "form_structure", F.lit(0.85), 1, order=F.col("k"))
+    score = F.when(F.col("k") < len(C.PATIENT_IDS), 0.85).otherwise(0.8)
+    return _boundaries(found_any(texts, C.PATIENT_IDS + C.PATIENT_NAMES).where(gate), "form_structure", score, 1, order=F.col("k"))
 
 
 def repeated_boundaries(texts: DataFrame) -> DataFrame:
@@ -73,8 +77,9 @@ def line_boundaries(texts: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def labelled_codes(texts: DataFrame) -> DataFrame:
-    """Codes with a label or a description: doc_id, start, code_end."""
-    return found_any(texts, LABELLED).select("doc_id", "start", "end")
+    """Codes with a label or a description, or with a word about codes after them on their line: doc_id, start, end."""
+    followed = [rf"{code}(?=[^\n]*(?:{words}))" for code, words in FOLLOWED]
+    return found_any(texts, LABELLED + followed).select("doc_id", "start", "end")
 
 
 def code_clusters(texts: DataFrame, gap: int = 300) -> DataFrame:
@@ -150,17 +155,57 @@ def split_pages(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.posexplode(F.split("text", C.PAGE_BREAK)).alias("page_no", "text"))
 
 
-def grid_chunks(pages: DataFrame, most_width: int, most_height: int, overlap: float = 0.1) -> DataFrame:
-    """page_id, chunk_index and box (x1, y1, x2, y2) of pages(page_id, width, height): a grid with overlapping inner edges."""
-    nx, ny = F.ceil(F.col("width") / most_width).cast("int"), F.ceil(F.col("height") / most_height).cast("int")
-    cells = pages.withColumn("nx", nx).withColumn("ny", ny).withColumn("row", F.explode(F.expr("sequence(0, ny - 1)"))).withColumn("col", F.explode(F.expr("sequence(0, nx - 1)")))
-    w, h = F.floor(F.col("width") / F.col("nx")), F.floor(F.col("height") / F.col("ny"))
+def grid_chunks(pages: DataFrame, most_width: int, most_height: int, overlap: float = 0.1, most_tokens: int | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """keys, chunk_index and box (x1, y1, x2, y2) of pages(keys, width, height): a grid with overlapping inner edges.
+
+    With most_tokens, pages also have tokens; a grid whose cells would hold more has more columns and rows, by the
+    square root of the excess.
+    """
+    nx, ny = F.ceil(F.col("width") / most_width), F.ceil(F.col("height") / most_height)
+    if most_tokens is not None:
+        excess = F.greatest(F.lit(1.0), F.sqrt(F.coalesce(F.col("tokens"), F.lit(0)) / (nx * ny) / most_tokens))
+        nx, ny = F.ceil(nx * excess), F.ceil(ny * excess)
+    cells = pages.select(*keys, "width", "height", nx.cast("int").alias("nx"), ny.cast("int").alias("ny"))
+    cells = cells.withColumn("row", F.explode(F.expr("sequence(0, ny - 1)"))).withColumn("col", F.explode(F.expr("sequence(0, nx - 1)")))
+    w, h = F.col("width") / F.col("nx"), F.col("height") / F.col("ny")
     dx, dy = F.floor(w * overlap), F.floor(h * overlap)
-    x1 = F.when(F.col("col") > 0, F.col("col") * w - dx).otherwise(0)
-    y1 = F.when(F.col("row") > 0, F.col("row") * h - dy).otherwise(0)
-    x2 = F.when(F.col("col") < F.col("nx") - 1, (F.col("col") + 1) * w + dx).otherwise(F.col("width"))
-    y2 = F.when(F.col("row") < F.col("ny") - 1, (F.col("row") + 1) * h + dy).otherwise(F.col("height"))
-    return cells.select("page_id", (F.col("row") * F.col("nx") + F.col("col")).cast("int").alias("chunk_index"), *(x.cast("int").alias(n) for x, n in ((x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2"))))
+    x1 = F.when(F.col("col") > 0, F.floor(F.col("col") * w) - dx).otherwise(0)
+    y1 = F.when(F.col("row") > 0, F.floor(F.col("row") * h) - dy).otherwise(0)
+    x2 = F.when(F.col("col") < F.col("nx") - 1, F.floor((F.col("col") + 1) * w) + dx).otherwise(F.col("width"))
+    y2 = F.when(F.col("row") < F.col("ny") - 1, F.floor((F.col("row") + 1) * h) + dy).otherwise(F.col("height"))
+    return cells.select(*keys, (F.col("row") * F.col("nx") + F.col("col")).cast("int").alias("chunk_index"), *(x.cast("int").alias(n) for x, n in ((x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2"))))
+
+
+BLOCKS = "array<struct<y:int,x:int,w:int,h:int,tokens:int,pack:int,total:int>>"
+
+
+def layout_chunks(blocks: DataFrame, most_width: int, most_height: int, most_tokens: int, padding: int = 10) -> DataFrame:
+    """page_id, chunk_index, box, tokens and whole of blocks(page_id, x, y, w, h, tokens, width, height), with the page's size.
+
+    Blocks are packed from top to bottom, then left to right, until most_tokens; a pack's box has a margin inside its
+    page. A block that is too large by itself ends the pack before it and is cut as a grid (whole is false; its tokens are
+    the block's). One page's blocks are folded at a time.
+    """
+    block = F.struct(*(F.col(c).cast("int").alias(c) for c in ("y", "x", "w", "h", "tokens")), F.lit(0).alias("pack"), F.col("tokens").cast("int").alias("total"))
+    listed = blocks.groupBy("page_id", "width", "height").agg(F.array_sort(F.collect_list(block)).cast(BLOCKS).alias("bs"))
+
+    def step(packed: Column, b: Column) -> Column:
+        last = F.element_at(packed, -1)
+        fresh = (b["tokens"] > most_tokens) | (last["tokens"] > most_tokens) | (last["total"] + b["tokens"] > most_tokens)
+        placed = F.struct(b["y"], b["x"], b["w"], b["h"], b["tokens"], (last["pack"] + fresh.cast("int")).alias("pack"), F.when(fresh, b["tokens"]).otherwise(last["total"] + b["tokens"]).alias("total"))
+        return F.when(F.size(packed) == 0, F.array(b)).otherwise(F.concat(packed, F.array(placed))).cast(BLOCKS)
+
+    packed = listed.select("page_id", "width", "height", F.inline(F.aggregate("bs", F.array().cast(BLOCKS), step)))
+    packs = packed.groupBy("page_id", "width", "height", "pack").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("below"), F.sum("tokens").cast("int").alias("tokens"), F.max("tokens").alias("largest"))
+    fit = packs.where(F.col("largest") <= most_tokens).select(
+        "page_id", "pack", F.lit(0).alias("cell"), F.greatest(F.col("x") - padding, F.lit(0)).alias("x1"), F.greatest(F.col("y") - padding, F.lit(0)).alias("y1"),
+        F.least(F.col("right") + padding, F.col("width")).cast("int").alias("x2"), F.least(F.col("below") + padding, F.col("height")).cast("int").alias("y2"), "tokens", F.lit(True).alias("whole"),
+    )
+    large = packs.where(F.col("largest") > most_tokens).select("page_id", "pack", "x", "y", "tokens", (F.col("right") - F.col("x")).alias("width"), (F.col("below") - F.col("y")).alias("height"))
+    keys = ("page_id", "pack", "x", "y", "tokens")
+    cut = grid_chunks(large, most_width, most_height, most_tokens=most_tokens, keys=keys).select("page_id", "pack", F.col("chunk_index").alias("cell"), *((F.col(c) + F.col(c[0])).alias(c) for c in ("x1", "y1", "x2", "y2")), "tokens", F.lit(False).alias("whole"))
+    order = Window.partitionBy("page_id").orderBy("pack", "cell")
+    return fit.unionByName(cut).select("page_id", (F.row_number().over(order) - 1).alias("chunk_index"), "x1", "y1", "x2", "y2", "tokens", "whole")
 
 
 def needs_chunks(width: Column, height: Column, tokens: Column, most_width: int, most_height: int, most_tokens: int) -> Column:
@@ -227,3 +272,40 @@ def sifted_again(found_rows: DataFrame, texts: DataFrame, distance: int = 100, m
     best = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "start")
     top = whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
     return top.withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).select("doc_id", "idx", "start", "kind", "confidence")
+
+
+def page_break_boundaries(texts: DataFrame, width: int = 200) -> DataFrame:
+    """Page breaks between texts about different people."""
+    text, start, end = F.col("text"), F.col("start"), F.col("end")
+    before = F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(start, F.lit(width)))
+    other = different_people(before, F.substring(text, end + 1, F.lit(width)))
+    return _boundaries(found_any(texts, [C.BROKEN_PAGE]).where(other), "page_break", F.lit(0.7), 6, end)
+
+
+def header_boundaries(texts: DataFrame) -> DataFrame:
+    """Headers of forms that a text holds more than once; surer with a word that separates people around them."""
+    words = r"(?i)\b(?:" + "|".join(C.BOUNDARY_KEYWORDS) + r")\b"
+    score = F.when(context(F.col("text"), F.col("start"), F.col("end"), 100).rlike(words), 0.85).otherwise(0.7)
+    return _boundaries(found_any(texts, C.FORM_HEADERS, least=2), "form_structure", score, 7, order=F.col("k"))
+
+
+def demographic_boundaries(texts: DataFrame, gap: int = 200, least: int = 3) -> DataFrame:
+    """The starts of blocks of at least `least` labelled fields, each less than `gap` characters after the one before."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end", "k")
+    fields = found_any(texts, C.PERSON_FIELDS).select("doc_id", "k", "start", "end")
+    marked = fields.withColumn("fresh", F.coalesce((F.col("start") - F.lag("end").over(order) >= gap).cast("int"), F.lit(0)))
+    blocks = marked.withColumn("block", F.sum("fresh").over(order)).groupBy("doc_id", "block").agg(F.min("start").alias("start"), F.count("*").alias("n"))
+    return _boundaries(blocks.where(F.col("n") >= least), "text_block", F.lit(0.8), 8)
+
+
+def enhanced(texts: DataFrame, kept: DataFrame, doubt: float = 0.8) -> DataFrame:
+    """Boundaries kept(doc_id, idx, start, kind, confidence) after a second look at texts with none, or with one below
+    `doubt`: page breaks, repeated headers and blocks of fields are added and all are sifted again. Other texts keep
+    theirs. A text in which nothing is found has no row."""
+    mine = Window.partitionBy("doc_id")
+    seen = kept.withColumn("sure", (F.count("*").over(mine) > 1) | F.coalesce(F.max("confidence").over(mine) >= doubt, F.lit(False)))
+    sure = seen.where("sure").drop("sure")
+    weak = texts.select("doc_id", "text").join(sure.select("doc_id"), "doc_id", "left_anti")
+    first = seen.where("not sure").select("doc_id", "start", F.lit(None).cast("int").alias("end"), "kind", "confidence", F.lit(-1).alias("method"), F.col("idx").alias("ord"))
+    every = reduce(DataFrame.unionByName, [first, page_break_boundaries(weak), header_boundaries(weak), demographic_boundaries(weak)])
+    return sure.unionByName(sifted_again(every, weak))

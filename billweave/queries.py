@@ -355,15 +355,25 @@ def boundary_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.repeated_boundaries(billing_texts(spark, sf_dir))
 
 
+#: The second pattern of names without looking around, which this dialect lacks.
+LATER_NAMES = r"(?i)(?:LAST|FIRST)[:.\s]+((?:[A-Z][a-z]+\s*)+)"
 NEAR_SQL = "(" + " + ".join(f"cast(regexp_matches({around(50)}, '(?i){p}') as integer)" for p in C.DEMOGRAPHIC) + ") >= 2"
 
 
-@query(f"with {DOC_SQL} " + " union all ".join(f"select doc_id, start, cast(null as integer) as \"end\", 'form_structure' as kind, 0.85::double as confidence, 1 as method, {k} as ord from {hits(p)} where {NEAR_SQL}" for k, p in enumerate(C.PATIENT_IDS)))
+@query(f"with {DOC_SQL} " + " union all ".join(f"select doc_id, start, cast(null as integer) as \"end\", 'form_structure' as kind, {0.85 if k < len(C.PATIENT_IDS) else 0.8}::double as confidence, 1 as method, {k} as ord from {hits(p)} where {NEAR_SQL}" for k, p in enumerate(C.PATIENT_IDS + [C.PATIENT_NAMES[0], LATER_NAMES])))
 def boundary_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.identifier_boundaries(billing_texts(spark, sf_dir))
 
 
-LABELLED_SQL = " union ".join(f"select doc_id, start from {hits(p)}" for p in segment.LABELLED)
+
+
+def labelled_sql(source: str = "doc") -> str:
+    after = "regexp_extract(substr(text, stop + 1), '^[^\\n]*')"
+    followed = [f"select doc_id, start from {hits(p, source)} where regexp_matches({after}, '(?i){words}')" for p, words in segment.FOLLOWED]
+    return " union ".join([f"select doc_id, start from {hits(p, source)}" for p in segment.LABELLED] + followed)
+
+
+LABELLED_SQL = labelled_sql()
 
 
 @query(f"""with {DOC_SQL}, c as ({LABELLED_SQL}), m as (select *, case when start - lag(start) over w > 300 then 1 else 0 end as fresh, count(*) over (partition by doc_id) as many from c window w as (partition by doc_id order by start)),
@@ -373,7 +383,7 @@ def code_cluster_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GAP_TEXT = " and nothing of note"
-LABELLED_TWICE = " union ".join(f"select doc_id, start from {hits(p, 'doc2')}" for p in segment.LABELLED)
+LABELLED_TWICE = labelled_sql("doc2")
 
 
 @query(f"""with {DOC_SQL}, doc2 as (select doc_id, text || chr(10) || repeat('{GAP_TEXT}', cast(10 + doc_id % 30 as integer)) || chr(10) || text as text from doc), c as ({LABELLED_TWICE}),
@@ -424,15 +434,39 @@ def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.split_pages(page_join(spark, sf_dir))
 
 
-PAGE_SIZE_SQL = "p as (select page_id, 500 + page_id % 4000 as width, 700 + page_id % 5000 as height from pages)"
+def grid_sql(source: str, keys: str, width: int, height: int, tokens: int) -> str:
+    """keys, chunk_index and box of source(keys, width, height, tokens)."""
+    return f"""(with n as (select *, ceil(width / {width}) as nx0, ceil(height / {height}) as ny0 from {source}), e as (select *, greatest(1.0, sqrt(tokens / (nx0 * ny0) / {tokens})) as excess from n),
+  g as (select *, cast(ceil(nx0 * excess) as bigint) as nx, cast(ceil(ny0 * excess) as bigint) as ny from e), c as (select *, unnest(range(nx)) as col from g), r as (select *, unnest(range(ny)) as "row" from c),
+  s as (select *, width / nx as cw, height / ny as ch from r), t as (select *, floor(cw * 0.1::double) as dx, floor(ch * 0.1::double) as dy from s)
+  select {keys}, cast("row" * nx + col as integer) as chunk_index, cast(case when col > 0 then floor(col * cw) - dx else 0 end as integer) as x1, cast(case when "row" > 0 then floor("row" * ch) - dy else 0 end as integer) as y1,
+    cast(case when col < nx - 1 then floor((col + 1) * cw) + dx else width end as integer) as x2, cast(case when "row" < ny - 1 then floor(("row" + 1) * ch) + dy else height end as integer) as y2 from t)"""
 
 
-@query(f"""with {PAGE_SIZE_SQL}, g as (select *, cast(ceil(width / 1000) as bigint) as nx, cast(ceil(height / 1200) as bigint) as ny from p), c as (select *, unnest(range(nx)) as col from g), r as (select *, unnest(range(ny)) as "row" from c),
-  s as (select *, width // nx as w, height // ny as h from r), t as (select *, cast(floor(w * 0.1) as bigint) as dx, cast(floor(h * 0.1) as bigint) as dy from s)
-  select page_id, cast("row" * nx + col as integer) as chunk_index, cast(case when col > 0 then col * w - dx else 0 end as integer) as x1, cast(case when "row" > 0 then "row" * h - dy else 0 end as integer) as y1, cast(case when col < nx - 1 then (col + 1) * w + dx else width end as integer) as x2, cast(case when "row" < ny - 1 then ("row" + 1) * h + dy else height end as integer) as y2 from t""")
+@query(f"select * from {grid_sql('(select page_id, 500 + page_id % 4000 as width, 700 + page_id % 5000 as height, page_id % 9 * 7000 as tokens from pages)', 'page_id', 1000, 1200, 1500)}")
 def chunk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages").select("page_id", (500 + F.col("page_id") % 4000).alias("width"), (700 + F.col("page_id") % 5000).alias("height"))
-    return segment.grid_chunks(pages, 1000, 1200)
+    key = F.col("page_id")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", (500 + key % 4000).alias("width"), (700 + key % 5000).alias("height"), (key % 9 * 7000).alias("tokens"))
+    return segment.grid_chunks(pages, 1000, 1200, most_tokens=1500)
+
+
+#: Blocks of pages made from the turns of conversations.
+BLOCK_SQL = "select conv_id as page_id, cast(turn * 90 as integer) as y, cast(turn % 2 * 400 as integer) as x, cast(300 + turn % 3 * 50 as integer) as w, 80 as h, cast((conv_id * 7 + turn * 1310) % 2500 as integer) as tokens from conversations"
+PACKED_SQL = f"""select page_id, unnest(bs) as b from (select page_id, list_reduce(list([{{'y': y, 'x': x, 'w': w, 'h': h, 'tokens': tokens, 'pack': 0, 'total': tokens}}] order by y, x, w, h, tokens), lambda acc, b:
+    list_concat(acc, [{{'y': b[1].y, 'x': b[1].x, 'w': b[1].w, 'h': b[1].h, 'tokens': b[1].tokens, 'pack': acc[-1].pack + case when b[1].tokens > 1500 or acc[-1].tokens > 1500 or acc[-1].total + b[1].tokens > 1500 then 1 else 0 end,
+      'total': case when b[1].tokens > 1500 or acc[-1].tokens > 1500 or acc[-1].total + b[1].tokens > 1500 then b[1].tokens else acc[-1].total + b[1].tokens end}}])) as bs from ({BLOCK_SQL}) group by page_id)"""
+
+
+@query(f"""with k as (select page_id, b.pack as pack, min(b.x) as x, min(b.y) as y, max(b.x + b.w) as "right", max(b.y + b.h) as below, cast(sum(b.tokens) as integer) as tokens, max(b.tokens) as largest from ({PACKED_SQL}) group by all),
+  large as (select page_id, pack, x, y, tokens, "right" - x as width, below - y as height from k where largest > 1500), u as (
+  select page_id, pack, 0 as cell, greatest(x - 10, 0) as x1, greatest(y - 10, 0) as y1, least("right" + 10, 1000) as x2, least(below + 10, 4000) as y2, tokens, true as whole from k where largest <= 1500
+  union all select page_id, pack, chunk_index, x1 + x, y1 + y, x2 + x, y2 + y, tokens, false from {grid_sql('large', 'page_id, pack, x, y, tokens', 200, 60, 1500)})
+  select page_id, cast(row_number() over (partition by page_id order by pack, cell) - 1 as integer) as chunk_index, x1, y1, x2, y2, tokens, whole from u""")
+def chunk_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn")
+    numbers = {"y": turn * 90, "x": turn % 2 * 400, "w": 300 + turn % 3 * 50, "h": F.lit(80), "tokens": (F.col("conv_id") * 7 + turn * 1310) % 2500, "width": F.lit(1000), "height": F.lit(4000)}
+    blocks = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), *(c.cast("int").alias(n) for n, c in numbers.items()))
+    return segment.layout_chunks(blocks, 200, 60, 1500)
 
 
 CHUNK_SQL = "ch as (select conv_id as page_id, cast(turn % 2 * 500 as integer) as x1, cast(turn // 2 * 130 as integer) as y1, cast(turn // 2 * 130 + 100 + turn % 2 * 20 as integer) as y2, role || chr(10) || '  ' || turn || '  ' || chr(10) as text from conversations)"
@@ -878,7 +912,7 @@ def patients_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.patients_by_page(patients(spark, sf_dir)).withColumn("nodes", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ","))
 
 
-@query(f"with {READING_SQL} select image_id, arg_min(text, (-confidence, ord)) as text, round(max(confidence), 4) as confidence, 'weighted_ensemble' as model from reading group by image_id")
+@query(f"with {READING_SQL} select image_id, arg_min(text, (-confidence, ord)) as text, round(max(confidence), 4) as confidence, 'weighted_combination' as model from reading group by image_id")
 def ensemble_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble.combined(readings(spark, sf_dir)).withColumn("confidence", F.round("confidence", 4))
 
@@ -905,3 +939,32 @@ def upload_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, key = read_table(spark, sf_dir, "orders"), F.col("o_orderkey")
     mime = F.when(key % 6 == 5, "text/html").otherwise("image/png")
     return o.select("o_orderkey", upload_problem(mime, key % 150, key % 5000, F.lit(500), F.col("o_totalprice")).alias("problem"))
+
+
+#: Forms of two pages about customers: none, one or two lines of dashes, so that some texts have sure boundaries.
+FORM_SQL = """(select c_custkey as doc_id, 'PATIENT INFORMATION' || chr(10) || 'Name: ' || c_mktsegment || chr(10) || 'DOB: 01/02/1980' || chr(10) || 'MRN: M' || c_custkey || chr(10)
+  || repeat(repeat('-', 12) || chr(10) || repeat('x ', 80) || chr(10), cast(c_custkey % 3 as integer)) || '--- PAGE BREAK ---' || chr(10) || case when c_custkey % 4 = 0 then 'Patient Information' else 'Continued' end || chr(10)
+  || repeat('of no note ', cast(c_custkey % 30 as integer)) || 'MRN: M' || (c_custkey + c_custkey % 2 * 5000) || chr(10) || 'Sex: F' || chr(10) || 'Phone: 555-1234' as text from customer)"""
+EXTRA_SQL = f"""select doc_id, start, 6 as method, start as ord, 0.7::double as confidence, 'page_break' as kind from (select doc_id, start, substr(text, greatest(start - 200, 0) + 1, least(start, 200)) as b, substr(text, stop + 1, 200) as a from {hits(C.BROKEN_PAGE, "weak")})
+  where len(list_filter({_values("b")}, lambda x: len(list_filter({_values("a")}, lambda y: 1.0 - levenshtein(x, y) / greatest(length(x), length(y))::double < 0.7)) > 0)) > 0 or """ + " or ".join(f"regexp_matches(a, '{p}')" for p in segment.NEW_PERSON)
+EXTRA_SQL += "".join(f" union all select doc_id, start, 7, {k}, case when regexp_matches({around(100)}, '(?i)\\b(?:{'|'.join(C.BOUNDARY_KEYWORDS)})\\b') then 0.85 else 0.7 end, 'form_structure' from (select *, count(*) over (partition by doc_id) as many from {hits(p, 'weak')}) where many > 1" for k, p in enumerate(C.FORM_HEADERS))
+FIELD_SQL = " union all ".join(f"select doc_id, {k} as k, start, stop from {hits(p, 'weak')}" for k, p in enumerate(C.PERSON_FIELDS))
+EXTRA_SQL += f""" union all select doc_id, min(start), 8, min(start), 0.8, 'text_block' from (select *, sum(fresh) over (partition by doc_id order by start, stop, k) as block
+  from (select *, case when start - lag(stop) over (partition by doc_id order by start, stop, k) >= 200 then 1 else 0 end as fresh from ({FIELD_SQL}))) group by doc_id, block having count(*) >= 3"""
+
+
+@query(f"""with doc as {FORM_SQL}, rules as (select doc_id, cast(row_number() over (partition by doc_id order by start) - 1 as integer) as idx, start, 'form_structure' as kind, 0.6::double as confidence from {hits('-{10,}')}),
+  sure as (select doc_id from rules group by doc_id having count(*) > 1), weak as (select doc_id, text from doc where doc_id not in (select doc_id from sure)),
+  every as (select doc_id, start, -1 as method, idx as ord, confidence, kind from rules where doc_id not in (select doc_id from sure) union all {EXTRA_SQL}), k as (select f.doc_id, b, text from {folded_sql('b[1].start - acc[-1].start <= 100', 'select * from every')} f join doc on doc.doc_id = f.doc_id),
+  w as (select doc_id, b.start as start, b.kind as kind, b.confidence as confidence from k where not (regexp_matches(substr(text, greatest(b.start - 50, 0) + 1, least(b.start, 50)), ':\\s*$') and regexp_matches(substr(text, b.start + 1, 50), '^\\s*[A-Za-z0-9]'))),
+  t as (select *, row_number() over (partition by doc_id order by confidence desc, start) as rank from w)
+  select * from rules where doc_id in (select doc_id from sure) union all select doc_id, cast(row_number() over (partition by doc_id order by start) - 1 as integer) as idx, start, kind, confidence from t where rank <= 10""")
+def boundary_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over forms made from customers; the first look finds their lines of dashes."""
+    key = F.col("c_custkey")
+    rules = F.repeat(F.lit("-" * 12 + "\n" + "x " * 80 + "\n"), (key % 3).cast("int"))
+    again = F.when(key % 4 == 0, "Patient Information").otherwise("Continued")
+    other = F.concat(F.repeat(F.lit("of no note "), (key % 30).cast("int")), F.lit("MRN: M"), (key + key % 2 * 5000).cast("string"), F.lit("\nSex: F\nPhone: 555-1234"))
+    text = F.concat(F.lit("PATIENT INFORMATION\nName: "), "c_mktsegment", F.lit("\nDOB: 01/02/1980\nMRN: M"), key.cast("string"), F.lit("\n"), rules, F.lit("--- PAGE BREAK ---\n"), again, F.lit("\n"), other)
+    texts = read_table(spark, sf_dir, "customer").select(key.alias("doc_id"), text.alias("text"))
+    return segment.enhanced(texts, segment.sifted(segment.rule_boundaries(texts)))

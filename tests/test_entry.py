@@ -10,7 +10,7 @@ from billweave.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["detect_cpt", "csv_zip_explode", "dup_pairs_adjacent", "components", "consensus_pick", "model_rank_composite", "anonymize_patient", "superbill_extract", "code_cluster_islands", "chunk_grid", "extracted_records", "optimised_records", "validation_reports", "context_change", "boundary_validated", "text_segments", "boundary_clusters", "structured_patients", "date_list"]
+SOME = ["detect_cpt", "csv_zip_explode", "dup_pairs_adjacent", "components", "consensus_pick", "model_rank_composite", "anonymize_patient", "superbill_extract", "code_cluster_islands", "chunk_grid", "extracted_records", "optimised_records", "validation_reports", "context_change", "boundary_validated", "text_segments", "boundary_clusters", "structured_patients", "date_list", "chunk_layout", "boundary_enhanced", "boundary_identifiers"]
 
 
 @pytest.fixture(scope="module")

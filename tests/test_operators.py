@@ -212,3 +212,41 @@ def test_optimised_needs_more_by_codes(spark):
     rows = [(1, 0, 0, "Ann", "Lee", None, None, *codes, 0.9), (1, 1, 0, "Bob", "Moss", None, "P", *codes, 0.5), (2, 0, 0, "Ann", "Lee", None, None, ["1"], [], 0.9), (2, 1, 0, "Ann", "Lee", None, None, ["2"], [], 0.8)]
     got = sorted((r.doc_id, r.page_no, r.patient_id, r.page_numbers, r.spans_multiple_pages) for r in optimised(spark.createDataFrame(rows, schema)).collect())
     assert got == [(1, 0, "P", [0, 1], True), (2, 0, None, [0], False), (2, 1, None, [1], False)]
+
+
+def test_codes_before_a_word_about_codes(spark):
+    from billweave.operators.segment import labelled_codes
+
+    texts = spark.createDataFrame([(1, "99213 then billing\n99214 end"), (2, "j45.1 for the diagnosis"), (3, "99213 – Visit"), (4, None), (5, "billing 99213")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.start) for r in labelled_codes(texts).distinct().collect()) == [(1, 0), (2, 0), (3, 0)]
+
+
+def test_names_are_found_in_very_long_texts(spark):
+    from billweave.operators.segment import identifier_boundaries
+
+    head = "Sex: F DOB: x "
+    texts = spark.createDataFrame([(1, head + "first: " + "ann lee " * 100_000), (2, head + "last: ann b lee DOB"), (3, ""), (4, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.confidence) for r in identifier_boundaries(texts).where("ord > 2").collect()}
+    assert got == {(1, len(head), 0.8), (2, len(head), 0.8)}
+
+
+def test_a_second_look_is_for_unsure_texts(spark):
+    from billweave.operators.segment import enhanced
+
+    page = "Name: Ann Lee\nDOB: 1/2/1980\nMRN: A1\n"
+    texts = spark.createDataFrame([(1, page + "x " * 60 + "\n--- PAGE BREAK ---\nName: Robert Moss\n"), (2, page), (3, "no one"), (4, page), (5, None)], "doc_id long, text string")
+    kept = spark.createDataFrame([(4, 0, 3, "keyword_separator", 0.9), (2, 0, 150, "form_structure", 0.6)], "doc_id long, idx int, start int, kind string, confidence double")
+    got = sorted((r.doc_id, r.idx, r.start, r.kind) for r in enhanced(texts, kept).collect())
+    assert got == [(1, 0, 0, "text_block"), (1, 1, len(page) + 121, "page_break"), (2, 0, 0, "text_block"), (2, 1, 150, "form_structure"), (4, 0, 3, "keyword_separator")]
+
+
+def test_layout_packs_blocks(spark):
+    from billweave.operators.segment import layout_chunks
+
+    rows = [(1, 0, 0, 50, 10, 60, 100, 200), (1, 0, 20, 50, 10, 40, 100, 200), (1, 5, 40, 50, 10, 1, 100, 200), (1, 0, 60, 40, 20, 200, 100, 200), (1, 0, 90, 95, 10, 7, 100, 200)]
+    blocks = spark.createDataFrame(rows, "page_id long, x int, y int, w int, h int, tokens int, width int, height int")
+    got = [tuple(r) for r in layout_chunks(blocks, 40, 20, 100).orderBy("chunk_index").collect()]
+    assert got[:2] == [(1, 0, 0, 0, 60, 40, 100, True), (1, 1, 0, 30, 65, 60, 1, True)]
+    assert [r[2:] for r in got[2:6]] == [(0, 60, 22, 71, 200, False), (18, 60, 40, 71, 200, False), (0, 69, 22, 80, 200, False), (18, 69, 40, 80, 200, False)]
+    assert got[6][2:] == (0, 80, 100, 110, 7, True)
+    assert layout_chunks(blocks.limit(0), 40, 20, 100).count() == 0
