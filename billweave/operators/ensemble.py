@@ -74,3 +74,8 @@ def with_minimum(results: DataFrame, least: int = 2) -> DataFrame:
     """image_id, n and status of every image: consensus, best, or ensemble_failed without readings of any text."""
     n = results.groupBy("image_id").agg(F.count_if(F.length(F.coalesce("text", F.lit(""))) > 0).alias("n"))
     return n.withColumn("status", F.when(F.col("n") >= least, "consensus").when(F.col("n") > 0, "best").otherwise("ensemble_failed"))
+
+
+def available(engines: DataFrame, results: DataFrame) -> DataFrame:
+    """Results of the engines(model, loaded) whose models are loaded."""
+    return results.join(engines.where("loaded").select("model").distinct(), "model", "left_semi").select(*results.columns)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 BASE_TEXT = ["first_name", "last_name", "patient_id", "phone", "email", "address"]
 
@@ -78,6 +78,33 @@ def as_xml(df: DataFrame, row: str = "patient") -> DataFrame:
     return df.select(F.to_xml(F.struct(*df.columns), {"rowTag": row}).alias("xml"))
 
 
+def result_xml(results: DataFrame, metadata: Sequence[str], confidences: Sequence[str], data: str) -> DataFrame:
+    """One column, xml: Metadata, Confidences and StructuredData of each result; items of lists have their index, members
+    that are null say null."""
+
+    def told(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            return F.struct(*(told(c[f.name], f.dataType).alias(f.name) for f in kind.fields))
+        if isinstance(kind, ArrayType):
+            inner = kind.elementType
+
+            def item(x: Column, i: Column) -> Column:
+                index = i.cast("string").alias("_index")
+                if isinstance(inner, StructType):
+                    return F.struct(index, *(told(x[f.name], f.dataType).alias(f.name) for f in inner.fields))
+                return F.struct(index, F.coalesce(x.cast("string"), F.lit("null")).alias("_VALUE"))
+
+            return F.struct(F.transform(c, item).alias("item"))
+        return F.coalesce(c.cast("string"), F.lit("null"))
+
+    body = F.struct(
+        F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c) for c in metadata)).alias("Metadata"),
+        F.struct(*(F.col(c).cast("string").alias(c) for c in confidences)).alias("Confidences"),
+        told(F.col(data), results.schema[data].dataType).alias("StructuredData"),
+    )
+    return results.select(F.to_xml(body, {"rowTag": "ExtractionResults"}).alias("xml"))
+
+
 def flattened(df: DataFrame, by: str = "_") -> DataFrame:
     """Leaves of nested structs as columns named by their path; arrays as JSON text."""
 

@@ -164,3 +164,12 @@ def validation_report(records: DataFrame, as_of: Column) -> DataFrame:
     unnamed = (F.coalesce("first_name", F.lit("")) == "") & (F.coalesce("last_name", F.lit("")) == "")
     warnings = F.filter(F.array(F.when(bare, "No medical codes (CPT or ICD-10) found"), F.when(unnamed, "No patient name found")), lambda x: x.isNotNull())
     return records.withColumn("errors", errors).withColumn("warnings", warnings).withColumn("overall_valid", F.size("errors") == 0)
+
+
+def code_validations(records: DataFrame, keys: tuple[str, ...], table: DataFrame, kind: str = "cpt") -> DataFrame:
+    """keys, code, is_valid, message, code_info and original_confidence of every code of records: cpt_codes or icd10_codes,
+    arrays of struct<code,confidence,...>. code_info is null for invalid codes."""
+    check = validate_cpt if kind == "cpt" else validate_icd
+    codes = records.select(*keys, F.explode("cpt_codes" if kind == "cpt" else "icd10_codes").alias("c")).select(*keys, F.col("c.code").alias("code"), F.col("c.confidence").alias("original_confidence"))
+    info = F.when(F.col("is_valid"), F.struct("code", "description", "category"))
+    return check(codes, table).select(*keys, "code", "is_valid", "message", info.alias("code_info"), "original_confidence")

@@ -968,3 +968,36 @@ def boundary_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("PATIENT INFORMATION\nName: "), "c_mktsegment", F.lit("\nDOB: 01/02/1980\nMRN: M"), key.cast("string"), F.lit("\n"), rules, F.lit("--- PAGE BREAK ---\n"), again, F.lit("\n"), other)
     texts = read_table(spark, sf_dir, "customer").select(key.alias("doc_id"), text.alias("text"))
     return segment.enhanced(texts, segment.sifted(segment.rule_boundaries(texts)))
+
+
+@query(f"""with {DOC_SQL}, c as (select doc_id, value as code, confidence as original_confidence from ({CPT_SQL})), k as (select doc_id, code, original_confidence, known, known_description, case when known is not null then known_category else {CATEGORY_SQL} end as category from c left join {CPT_DIM} on code = known)
+  select doc_id, code, known is not null or category is not null as is_valid, case when known is not null then 'Valid CPT code' when category is not null then 'Valid CPT code format (category: ' || category || ')' else 'Unknown CPT code' end as message,
+    case when known is not null or category is not null then code || '|' || case when known is not null then known_description else 'Description not available' end || '|' || category end as info, original_confidence from k""")
+def code_validations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = F.collect_list(F.struct(F.col("value").alias("code"), "confidence"))
+    records = detect.procedures(billing_texts(spark, sf_dir)).groupBy("doc_id").agg(codes.alias("cpt_codes"))
+    got = validate.code_validations(records, ("doc_id",), validate.cpt_table(spark))
+    return got.select("doc_id", "code", "is_valid", "message", F.concat_ws("|", "code_info.code", "code_info.description", "code_info.category").alias("joined"), "code_info", "original_confidence").select("doc_id", "code", "is_valid", "message", F.when(F.col("code_info").isNotNull(), F.col("joined")).alias("info"), "original_confidence")
+
+
+@query("""select c_custkey as doc_id, case when c_custkey % 7 <> 0 then c_name end as patient_name, case when c_custkey % 7 <> 0 and c_custkey % 3 = 0 then c_mktsegment end as phone, c_custkey % 7 <> 0 as ok from customer""")
+def templated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first answer that is broken for some customers, and a second one that is for fewer."""
+    c = read_table(spark, sf_dir, "customer")
+    body = F.concat(F.lit("Here: {'patient_name': '"), "c_name", F.lit("', 'phone': "), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("'"), "c_mktsegment", F.lit("'"))).otherwise("None"), F.lit(", }"))
+    tries = F.array(F.struct(F.lit(0).alias("attempt"), F.when(F.col("c_custkey") % 2 == 0, body).otherwise("{'patient_name': ").alias("raw")), F.struct(F.lit(1).alias("attempt"), F.when(F.col("c_custkey") % 7 != 0, body).otherwise("none").alias("raw")))
+    broken = F.transform(tries, lambda t: F.struct(t["attempt"].alias("attempt"), F.when(F.col("c_custkey") % 7 == 0, "none").otherwise(t["raw"]).alias("raw")))
+    answers = c.select(F.col("c_custkey").alias("doc_id"), F.inline(broken))
+    return extract.templated(answers, "patient_demographics").select("doc_id", "data.patient_name", "data.phone", "ok")
+
+
+@query(f"with {READING_SQL} select image_id, ord, model, text from reading where model <> 'beta'")
+def available_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engines = spark.createDataFrame([("alpha", True), ("beta", False), ("gamma", True)], "model string, loaded boolean")
+    return ensemble.available(engines, readings(spark, sf_dir)).select("image_id", "ord", "model", "text")
+
+
+@query("select c_custkey, case when c_name is not null then '[REDACTED]' end as first_name, case when c_mktsegment is not null then '[REDACTED]' end as phone from customer")
+def redacted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("first_name"), F.col("c_mktsegment").alias("phone"))
+    return anonymize.protected(records, "Redaction")

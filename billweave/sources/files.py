@@ -67,9 +67,22 @@ def service_confidence(answer: Column, otherwise: float = 0.85) -> Column:
 
 
 def result_text(result: Column) -> Column:
-    """Text of a reader's VARIANT result: raw_text, else text_blocks, else raw_output."""
-    blocks = F.array_join(F.transform(F.try_variant_get(result, "$.text_blocks", "array<struct<text:string>>"), lambda b: b["text"]), "\n")
-    return F.coalesce(F.try_variant_get(result, "$.raw_text", "string"), blocks, F.try_variant_get(result, "$.raw_output", "string"), F.lit(""))
+    """Text of a reader's VARIANT result: raw_text, else text_blocks (objects with text, or strings), else raw_output,
+    else the members that are strings, by their names' order, without error and model_info; a plain string is the text."""
+    blocks = F.transform(F.try_variant_get(result, "$.text_blocks", "array<variant>"), lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.when(F.schema_of_variant(b) == "STRING", F.try_variant_get(b, "$", "string"))))
+    members = F.map_entries(F.try_variant_get(result, "$", "map<string,variant>"))
+    told = F.filter(members, lambda e: ~e["key"].isin("error", "model_info") & (F.schema_of_variant(e["value"]) == "STRING"))
+    strings = F.filter(F.transform(told, lambda e: F.try_variant_get(e["value"], "$", "string")), lambda x: F.trim(x) != "")
+    whole = F.when(F.schema_of_variant(result) == "STRING", F.try_variant_get(result, "$", "string"))
+    return F.coalesce(F.try_variant_get(result, "$.raw_text", "string"), F.array_join(blocks, "\n"), F.try_variant_get(result, "$.raw_output", "string"), F.array_join(strings, "\n"), whole, F.lit(""))
+
+
+def in_page_order(pages: DataFrame, readings: DataFrame) -> DataFrame:
+    """One row for each of pages(doc_id, page_no), in order; pages without a reading have confidence 0 and an error."""
+    every = pages.select("doc_id", "page_no").join(readings, ["doc_id", "page_no"], "left")
+    missing = F.col("confidence").isNull()
+    filled = {"text": F.coalesce("text", F.lit("")), "confidence": F.coalesce("confidence", F.lit(0.0)), "error": F.when(missing & F.col("error").isNull(), "no reading").otherwise(F.col("error"))}
+    return every.withColumns(filled).orderBy("doc_id", "page_no")
 
 
 def read_images(pages: DataFrame, engine: Callable[[], Callable[[bytes], tuple[str, float]]], model: str) -> DataFrame:

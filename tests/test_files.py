@@ -55,3 +55,16 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # each file once
         run_available(stream, detect.procedures, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["99213"]
+
+
+def test_result_text_and_page_order(spark):
+    from pyspark.sql import functions as F
+
+    from billweave.sources import files
+
+    rows = ['{"raw_text": "a"}', '{"text_blocks": [{"text": "b"}, "c", 1]}', '{"raw_output": "d"}', '{"z": "f", "error": "x", "e": "e", "n": 1}', '"g"', "{}", None]
+    got = spark.createDataFrame([(r,) for r in rows], "j string").select(files.result_text(F.parse_json("j")).alias("t")).collect()
+    assert [r.t for r in got] == ["a", "b\nc", "d", "e\nf", "g", "", ""]
+    pages = spark.createDataFrame([(2, 1), (1, 2), (1, 1)], "doc_id long, page_no int")
+    read = spark.createDataFrame([(1, 2, "t", 0.9, None, "m")], "doc_id long, page_no int, text string, confidence double, error string, model string")
+    assert [(r.doc_id, r.page_no, r.text, r.confidence, r.error) for r in files.in_page_order(pages, read).collect()] == [(1, 1, "", 0.0, "no reading"), (1, 2, "t", 0.9, None), (2, 1, "", 0.0, "no reading")]

@@ -250,3 +250,54 @@ def test_layout_packs_blocks(spark):
     assert [r[2:] for r in got[2:6]] == [(0, 60, 22, 71, 200, False), (18, 60, 40, 71, 200, False), (0, 69, 22, 80, 200, False), (18, 69, 40, 80, 200, False)]
     assert got[6][2:] == (0, 80, 100, 110, 7, True)
     assert layout_chunks(blocks.limit(0), 40, 20, 100).count() == 0
+
+
+def test_literal_records(spark):
+    import re
+
+    from billweave.operators import extract
+
+    texts = ["PATIENT: John Doe\nDOB: 01/15/1980\nJANE ROE DOB 2/3/90 99213", "Ann Lee\nseen 2020-01-02", "", "x", "name = mary ann smith 3/4"]
+    got = {}
+    for r in extract.records(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), literal=True).collect():
+        got.setdefault(r.doc_id, []).append((r.patient_index, f"{r.first_name} {r.last_name}" if r.first_name else None))
+    for k, text in enumerate(texts):
+        names = [re.sub(r"\s+", " ", m.strip()) for p in extract.NAMES_LITERAL for m in re.findall(p, text) if len(m.strip()) > 2]
+        dates = re.findall(extract.ANY_DATE, text) + re.findall(extract.YEAR_FIRST, text)
+        want = names or ([None] if dates or re.findall(extract.FIVE_DIGITS, text) else ["Unknown Patient"])
+        assert sorted(got[k]) == [(i, n if n is None or " " in n else n + " Patient") for i, n in enumerate(want)]
+
+
+def test_result_xml(spark):
+    from billweave.operators.export import result_xml
+
+    schema = "file string, overall_confidence double, data struct<name:string,phone:string,codes:array<string>,people:array<struct<id:int,note:string>>>"
+    row = ("a.pdf", 0.5, ("Ann", None, ["1", None], [(7, None)]))
+    xml = result_xml(spark.createDataFrame([row], schema), ["file"], ["overall_confidence"], "data").first().xml
+    flat = "".join(line.strip() for line in xml.splitlines())
+    assert flat == (
+        "<ExtractionResults><Metadata><file>a.pdf</file></Metadata><Confidences><overall_confidence>0.5</overall_confidence></Confidences><StructuredData><name>Ann</name><phone>null</phone>"
+        '<codes><item index="0">1</item><item index="1">null</item></codes><people><item index="0"><id>7</id><note>null</note></item></people></StructuredData></ExtractionResults>'
+    )
+
+
+def test_protected(spark):
+    from billweave.operators.anonymize import protected
+
+    r = spark.createDataFrame([("Ann", "P1", None), (None, "P1", "555 123 4567")], "first_name string, patient_id string, phone string")
+    assert [tuple(x) for x in protected(r, "Redaction").collect()] == [("[REDACTED]", "[REDACTED]", None), (None, "[REDACTED]", "[REDACTED]")]
+    tokens = protected(r, "Tokenization").collect()
+    assert tokens[0].patient_id == tokens[1].patient_id and tokens[0].patient_id.startswith("ID_") and tokens[1].first_name is None
+    with pytest.raises(ValueError):
+        protected(r, "none")
+
+
+def test_templates(spark):
+    from billweave.operators.extract import templated
+
+    answers = spark.createDataFrame([(1, 0, "no"), (1, 1, '{"patients": [{"patient_info": {"first_name": "Ann"}}]}'), (2, 0, None), (3, 0, '{"a": 1}')], "doc_id long, attempt int, raw string")
+    got = {r.doc_id: r for r in templated(answers).collect()}
+    assert got[1].data.patients[0].patient_info.first_name == "Ann" and (got[2].ok, got[3].ok, got[3].data.patients) == (False, True, None)
+    assert {r.doc_id: r.data and r.data.a for r in templated(answers, schema="struct<a:int>").collect()} == {1: None, 2: None, 3: 1}
+    with pytest.raises(ValueError):
+        templated(answers, "other")
