@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy stages treat at once; their temporaries are some tens of times as large.
 SLICE_BYTES = 1 << 20
@@ -22,6 +23,9 @@ SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch at most.
 ROWS_SENT = 2500
 
+#: Bits of the fixed-size map of ids by which rows are taken out.
+ID_BITS = 1 << 23
+
 _own_dir: list[str] = []
 
 
@@ -72,6 +76,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs, all their columns, whose doc_id is not in ids(doc_id), and those whose doc_id is; a null is in none.
+
+    Rows that a bitmap of ID_BITS rules out stay where they are; only the others, with their texts, are shuffled for the exact
+    join. Its condition names the bitmap's bucket, else the optimiser would move that join below the bitmap.
+    """
+    ids = saved(ids, "ids")
+    slot = "pmod(xxhash64(cast({} as long)), {})".format
+    marks = ids.select(F.expr(slot("doc_id", ID_BITS)).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    at, other = slot("d.doc_id", ID_BITS), slot("i.doc_id", ID_BITS)
+    marked = docs.alias("d").join(F.broadcast(marks.alias("m")), F.expr(f"bitmap_bucket_number({at}) = m.bucket"), "left")  # ID_BITS / 8 bytes at most
+    byte = f"cast(conv(hex(substring(m.bits, cast(bitmap_bit_position({at}) div 8 as int) + 1, 1)), 16, 10) as int)"
+    in_map = F.expr(f"d.doc_id is not null and m.bits is not null and getbit({byte}, cast(bitmap_bit_position({at}) % 8 as int)) = 1")
+    maybe, same = marked.where(in_map), F.expr(f"d.doc_id = i.doc_id and m.bucket = bitmap_bucket_number({other})")
+    apart = marked.where(~in_map).select("d.*").union(maybe.join(ids.alias("i"), same, "left_anti").select("d.*"))
+    return apart, maybe.join(ids.alias("i"), same, "left_semi").select("d.*")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about `limit` bytes of `column`; a longer text is a piece of its own.
 

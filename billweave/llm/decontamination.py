@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from billweave.llm.common import saved
+from billweave.llm.common import parted, saved
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -143,4 +143,4 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
     """The rows of docs, all their columns, whose doc_id has no contaminated row."""
     found = contamination(docs, items, size).where(is_contaminated(F.col("n_hit"), F.col("n_words")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    return parted(docs, found)[0]

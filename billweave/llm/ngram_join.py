@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import bits_of, byte_values, mix, saved, shingle_hashes, ship, slices, text_bytes, word_hashes
+from billweave.llm.common import bits_of, byte_values, mix, parted, saved, shingle_hashes, ship, slices, text_bytes, word_hashes
 from billweave.llm.components import components
 
 #: Bytes between words: space and \t to \r.
@@ -448,9 +448,9 @@ def keep_one(docs: DataFrame, width: int = 5, t: Threshold = Threshold(80, 100))
     """
     groups = saved(jaccard_groups(docs, width, t), "groups")
     gone = groups.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = parted(docs, gone)[0]
     twice = groups.where("node is not null and doc_id is not null").groupBy("doc_id", "node").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id").distinct()
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once)
+    kept, repeated = parted(kept, twice)
+    return kept.union(repeated.dropDuplicates(["doc_id", "text"]))

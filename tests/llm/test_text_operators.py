@@ -429,6 +429,52 @@ def test_contamination(docs, empty, spark):
     assert without_contaminated(docs, table).columns == docs.columns
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    jvm = spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Also when the ids that go are too many to be sent to all executors."""
+    from billweave.llm.decontamination import without_contaminated
+    from billweave.llm.ngram_join import keep_one
+
+    rows = [(k, " ".join(random.randbytes(8).hex() for _ in range(100))) for k in range(300)]
+    rows += [(300 + k, t) for k, t in rows[:20]] + [(None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    items = spark.createDataFrame([(k, rows[k][1]) for k in range(20, 30)], "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for kept, want in ((without_contaminated(docs, items), {*range(20), *range(30, 320), None}), (keep_one(docs), {*range(300), None})):
+            at = shuffled(spark)
+            assert {r.doc_id for r in kept.collect()} == want
+            assert shuffled(spark) - at < sum(len(t) for _, t in rows) / 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("log2", [1, 23])
+def test_rows_parted_by_ids(spark, monkeypatch, log2):
+    """Against a plain look-up; names of columns, types of ids and a map that is full change nothing."""
+    from billweave.llm import common
+
+    monkeypatch.setattr(common, "ID_BITS", 1 << log2)
+    rows = [(k, k % 7, "x", b"y", "z", "i") for k in [*range(-40, 40), 2**40, 40_000, 5, 5]] + [(None, 0, None, None, None, None)]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame(rows, "doc_id long, slot int, bucket string, bits binary, d string, m string").withColumn("doc_id", F.col("doc_id").cast(kind)).select("d", "m", "doc_id", "slot", "bucket", "bits")
+        for gone in ([], [0, 5, -40, 39, 40_000, 77, 2**50]):
+            ids = spark.createDataFrame([(k,) for k in gone], "doc_id long")
+            have = docs.collect()
+            for got, inside in zip(common.parted(docs, ids), (False, True)):
+                assert got.schema == docs.schema
+                want = [r for r in have if (r.doc_id is not None and int(r.doc_id) in gone) == inside]
+                assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
+
+
 def test_near_matches(spark):
     from billweave.llm.common import saved
     from billweave.llm.decontamination import build_index, item_terms, near_matches, phrase_matches
