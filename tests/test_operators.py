@@ -301,3 +301,24 @@ def test_templates(spark):
     assert {r.doc_id: r.data and r.data.a for r in templated(answers, schema="struct<a:int>").collect()} == {1: None, 2: None, 3: 1}
     with pytest.raises(ValueError):
         templated(answers, "other")
+
+
+def test_searched_once(spark):
+    """A pattern with too few matches has none, in one pass with others; words that a pattern needs are asked for first."""
+    texts = spark.createDataFrame([(1, "Name: Ann\nDOB: 1/2/1980\nDOB: 3/4/1981"), (2, None), (3, "last Ab Account #: 7 account #: 8")], "doc_id long, text string")
+    got = detect.searched(texts, {"a": C.REPEATED_FIELDS, "b": [C.EMAIL, r"\d"]}, {"a": 2}, first={"b": 10}, on={"b": F.col("doc_id") == 3})
+    rows = {r.doc_id: r for r in got.collect()}
+    assert [(x.k, x.start) for x in rows[1].a] == [(1, 10), (1, 24)] and rows[1].b == [] and rows[2].a == [] and rows[2].b == []
+    assert [(x.k, x.start) for x in rows[3].a] == [(3, 8), (3, 21)] and [(x.k, x.start) for x in rows[3].b] == [(11, 19), (11, 32)]
+    places = sorted((r.start, r.end) for r in segment.repeated_boundaries(texts).collect())
+    assert places == [(8, None), (10, None), (21, None), (24, None)]
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
+
+
+def test_one_search(texts):
+    """Each pattern is searched once: no filter and no second branch repeats a search."""
+    assert scans(detect.procedures(texts)) == 1
+    assert scans(detect.detected(texts, detect.PROCEDURES, detect.DIAGNOSES, detect.AMOUNTS)) == 5
