@@ -322,3 +322,12 @@ def test_one_search(texts):
     """Each pattern is searched once: no filter and no second branch repeats a search."""
     assert scans(detect.procedures(texts)) == 1
     assert scans(detect.detected(texts, detect.PROCEDURES, detect.DIAGNOSES, detect.AMOUNTS)) == 5
+
+
+def test_cluster_gate(spark):
+    """A gap is found also where only codes of the rarer patterns lie beyond it, and where nothing else does."""
+    code, idle = "A10 - x\nB20 - y\n", "nothing of note " * 25
+    texts = spark.createDataFrame([(1, "CPT 12345 CPT 54321 " + idle + code), (2, code + idle + "DX A10 DX B20"), (3, code * 2), (4, "CPT 12345 CPT 54321 " + idle + "CPT 12345 CPT 54321")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in segment.cluster_boundaries(texts).collect()) == [1, 2, 4]
+    assert scans(segment.cluster_boundaries(texts)) == 6 and scans(segment.keyword_boundaries(texts)) == 1
+    assert [(r.doc_id, r.cluster, r.codes) for r in segment.code_clusters(texts).where("doc_id = 2").orderBy("cluster").collect()] == [(2, 0, 2), (2, 1, 2)]
